@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from marlstone.llm import quality
+from marlstone.llm import minhash, quality
 
 QUERIES = {
+    "op8_minhash": minhash.op8_minhash,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 #: zstandard ratios, trained models and searches are beyond SQL; tests/llm holds brute-force versions.

@@ -1,10 +1,13 @@
+import random
+
 import duckdb
 import pyarrow as pa
 import pytest
 
 from marlstone.llm.quality import BASE_SQL, keep_good, quality_rules
 
-PROSE = " ".join(f"Word{i * 7919 % 1013} of plain{i * 31 % 211} prose" for i in range(40))
+_R = random.Random(7)
+PROSE = " ".join("".join(_R.choices("etaoinshrdlucmfw", k=_R.randint(2, 9))) for _ in range(200))
 TEXTS = [
     None, "", "   \n\t ", "one", PROSE, PROSE, "spam spam " * 400, "a\x0bb\x0cc d " * 30, "#*$%&|<> x\n" * 30,
     "line one here\nline one here\n\nother\n", "é" * 50000, " ".join(map(str, range(30000))), PROSE + "\n" + PROSE,
