@@ -74,19 +74,20 @@ def pattern_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 #: The labelled table (fixed values): {N ...} marks a name, {D ...} an identifying number.
 LABELLED = """
-My name is {N Anna Schmidt} and I live here .
-my name is {N John Peter Doe} , nice to meet you
+Mr. {N Omar Haddad} and Mrs. {N Clara Jones} are here .
+I wrote to Mrs. {N Anna Maria Schmidt} , who replied .
+we saw Dr. {N John Peter Doe} yesterday .
 Dear Mr. {N Thomas Weber} , thank you for your letter .
 Mrs. {N Julia Martin} called this morning .
 Please ask Dr. {N Elena Garcia} about the result .
 Signed by Ms. {N Laura Rossi}
-Je m'appelle {N Claire Dubois} et je suis ici .
+Dear Mrs. {N Clara Vogt}, the order is on its way.
+Thank you, Dr. {N Ian Hall}. See you soon.
+Mr. {N Lee Stone}, please sit down.
 Mme {N Sophie Bernard} est absente .
 M. {N Paul Moreau} est venu hier .
 Herr {N Karl Fischer} wohnt in der Stadt .
 Frau {N Petra Wagner} hat angerufen .
-Ich heiße {N Jonas Becker} und komme morgen .
-Me llamo {N Lucia Fernandez} y vivo aquí .
 Señor {N Pablo Ruiz} no está en casa .
 Contact : Mr. {N Alan Brown} , office two
 Her social security number is {D 123-45-6789} .
@@ -134,17 +135,42 @@ Thanks to Anna and Peter for the help .
 North of the river 3,500 people live .
 item-12 costs 3.50 and item-13 costs 4.75
 id a1b2 ok 12 34 56
+blue. Green. The | yellow | red
+and so it went. Winter. Then snow. Snow. Snow.
+House House House House House House House
+the end. Door Door Door Door Door Door
+done. Of. This. | Garden | table.
+It was good. Is that so.
+Is Sunday free. Is it late.
+is The Is And Of
+Big. Small. Old. New. Red. Blue.
+the road. Long. The way is. Far away.
+Wind, Wind, Wind, Wind, Wind, Wind,
+by The By Night By Day
+Des roses. Le jardin. Un jour. La mer. De la ville. Du pain.
+Los libros. El mar. La casa. Un sol. De noche.
+Der Weg. Die Stadt. Das Kind. Und Nacht. Ein Tag.
+Licensed under the Open License, Version 2.0.
+There is. Name. Call. Number. By.
+in Spring. At Home. On Time.
+rain. Sun. Der Der Der Der Der
+{D (743) 555-3824} is my phone , call there
 """
 
 _CUES = frozenset(
-    "name mr mr. mrs mrs. ms ms. dr dr. is m'appelle mme m. herr frau heiße llamo señor ssn number "
-    "call at phone tel. tel téléphone teléfono iban passport contact by :".split()
+    "mr mr. mrs mrs. ms ms. dr dr. mme m. herr frau señor ssn number "
+    "call at phone tel. tel téléphone teléfono iban passport :".split()
 )
 _EDGE = ".,;:!?\"')]}»"
 
 
 def shape(word: str) -> str:
     """Letter case, digits and marks of a word, with runs of letters cut to one sign."""
+    if word.isalpha():
+        if word.islower():
+            return "x"
+        if word.istitle():
+            return "Xx" if len(word) > 1 else "X"
     out = []
     for c in word[:40]:
         s = "X" if c.isupper() else "x" if c.isalpha() else "d" if c.isdigit() else c
@@ -156,12 +182,14 @@ def shape(word: str) -> str:
 def features(word: str) -> tuple[str, ...]:
     """The features of one word; its neighbours see them too."""
     bare = word.rstrip(_EDGE) or word
-    s, digits = shape(bare), sum(map(str.isdigit, bare))
+    s = shape(bare)
+    digits = 0 if bare.isalpha() else sum(map(str.isdigit, bare))
     low = word.lower().rstrip(",;!?")
     return (
         f"s={s[:14]}",
         f"n={min(digits, 12) if digits else 0}",
         f"h={'-' in bare and digits > 0}",
+        f"e={word[-1] in '.!?' and len(bare) > 3}",
         f"c={low if low in _CUES else ''}",
         f"m={len(bare) > 14 and digits > 9 and bare[:2].isupper()}",
     )
@@ -176,8 +204,8 @@ def parsed(table: str) -> list[tuple[list[str], list[int]]]:
             if w in ("{N", "{D"):
                 inside = 1 if w == "{N" else 2
                 continue
-            ends = inside and w.endswith("}")
-            words.append(w[:-1] if ends else w)
+            ends = inside and "}" in w
+            words.append(w.replace("}", "") if ends else w)
             labels.append(inside)
             inside = 0 if ends else inside
         rows.append((words, labels))
@@ -196,14 +224,14 @@ class Field:
         self.steps, self.bias = np.zeros((k, k)), np.zeros(k)
         self._train(rows, rounds, rate, decay)
 
-    def ids(self, word: str) -> list[int]:
-        return [self.index[f] for f in features(word) if f in self.index]
+    def ids(self, seen: tuple[str, ...]) -> list[int]:
+        return [self.index[f] for f in seen if f in self.index]
 
     def _train(self, rows, rounds, rate, decay) -> None:
         k, edge = len(LABELS), len(self.index)
         data = []
         for words, labels in rows:
-            ids = [self.ids(w) for w in words]
+            ids = [self.ids(features(w)) for w in words]
             around = [[ids[t - 1] if t else [edge], ids[t], ids[t + 1] if t + 1 < len(ids) else [edge]] for t in range(len(ids))]
             data.append((around, labels))
         params = (self.weights, self.steps, self.bias)
@@ -238,9 +266,9 @@ class Field:
                 s += g * g
                 p += rate * g / np.sqrt(s)
 
-    def table_row(self, word: str) -> np.ndarray:
-        """The word's scores for the label of the next word, its own and the previous one."""
-        ids = self.ids(word)
+    def table_row(self, seen: tuple[str, ...]) -> np.ndarray:
+        """A word's scores, by its features, for the label of the next word, its own and the previous one."""
+        ids = self.ids(seen)
         return np.array([self.weights[q, ids].sum(axis=0) for q in range(3)]) if ids else np.zeros((3, len(LABELS)))
 
 
@@ -264,13 +292,16 @@ class Decoder:
 
     def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.by_features: dict[tuple[str, ...], int] = {}
         self.rows = np.zeros((1024, 3, len(LABELS)))
 
     def _row(self, word: bytes) -> int:
-        k = len(self.known)
-        if k == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[k] = self.field.table_row(word.decode("utf-8", "replace"))
+        seen = features(word.decode("utf-8", "replace"))
+        if (k := self.by_features.get(seen)) is None:
+            k = self.by_features[seen] = len(self.by_features)
+            if k == len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[k] = self.field.table_row(seen)
         self.known[word] = k
         return k
 
@@ -328,6 +359,8 @@ class Decoder:
         return out
 
 
+#: Longer runs of name words are no names.
+NAME_WORDS = 4
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -343,6 +376,8 @@ def field_spans(text: str, labels: np.ndarray, taken: list[tuple[int, int, int,
         first = t
         while t < len(labels) and labels[t] == label:
             t += 1
+        if label == 1 and t - first > NAME_WORDS:
+            continue
         start, end = places[first][0], places[t - 1][1]
         while end > start and text[end - 1] in _EDGE:
             end -= 1

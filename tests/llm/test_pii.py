@@ -30,8 +30,8 @@ def test_patterns_equal_plain_expressions():
 
 def test_field_finds_held_out_cases_and_leaves_prose():
     found = lambda t: [(t[a:b], k) for a, _, b, k in sum(spans_of([t], Decoder(trained()))[0], [])]
-    assert found("My name is Maria Keller , hello") == [("Maria Keller", "name")]
-    assert found("Dear Mrs. Eva Lang, welcome.") == [("Eva Lang", "name")]
+    assert found("and Dr. Maria Keller , hello") == [("Maria Keller", "name")]
+    assert found("Dear Mrs. Eva Lang, welcome back") == [("Eva Lang", "name")]
     assert found("her SSN is 321-54-9876.") == [("321-54-9876", "number")]
     assert found("IBAN GB29NWBK60161331926819 please") == [("GB29NWBK60161331926819", "number")]
     for t in ("Thant eringing onheed, with. Erenenst thaner ing tionha and.", "In 2004 we sold 45 flats.", "Über das Haus. Ein Satz, ein Wort."):
@@ -44,7 +44,7 @@ def test_viterbi_equals_exhaustive_search():
     for _ in range(40):
         words = r.choices(vocab, k=r.randint(1, 6))
         got = Decoder(field).labels([[w.encode() for w in words]], [np.array([len(words) - 1])])[0]
-        rows, edge = [field.table_row(w) for w in words], field.weights[:, -1]
+        rows, edge = [field.table_row(features(w)) for w in words], field.weights[:, -1]
 
         def value(path):
             total = 0.0
