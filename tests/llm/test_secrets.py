@@ -1,0 +1,64 @@
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from marlstone.llm.secrets import find_secrets, labelled_samples, running_starts, train
+
+
+def brute(text):
+    out = []
+    for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A):
+        if len(m[2]) >= 12:
+            out.append((m.start(), 0, m.end(), "assign"))
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(out)
+
+
+def corpus():
+    r = random.Random(3)
+    parts = ["token", "password", " = ", ": ", '"', "'", "AKIA", "ABCDEFGH1234567", "deadbeef0123", "é", "🙂", " ", "\n", "api_key", "ApiKey", "=", "xyz.abc-DEF/12", "0", "PASSWD", ":", "secret"]
+    texts = [None, "", "plain words only"] + ["".join(r.choices(parts, k=r.randint(1, 60))) for _ in range(400)]
+    return texts + ["0123456789abcdef " * 3000, 'token = "' + "a1" * 4000 + '"'] + [texts[10]] * 2
+
+
+def test_patterns_equal_plain_expressions(spark):
+    texts = corpus()
+    df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, base string")
+    got = {r.doc_id: r for r in find_secrets(df).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        want = brute(t or "")
+        listed = ",".join(f"{k}:{a}:{b}" for a, _, b, k in want)
+        assert got[i].base_sha256 == hashlib.sha256(listed.encode()).hexdigest(), t
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(w[3] == k for w in want) for k in ("assign", "access", "hex")]
+        assert set(filter(None, listed.split(","))) <= set(got[i].spans.split(","))
+    assert find_secrets(df.limit(0)).count() == 0
+
+
+def test_models_tell_random_strings_from_identifiers(spark):
+    r = random.Random(9)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    noise = ["".join(r.choices(b64, k=32)) for _ in range(200)]
+    names = ["getUserAccountManagerFactory", "internal_connection_pool_size", "donaudampfschifffahrtsgesellschaft", "path/to/some/local/folder/file", "-" * 40, "anticonstitutionnellement", "MAX_RETRY_COUNT_PER_SESSION", "2024-01-01-monthly-report"] * 5
+    df = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(noise + names)], "doc_id long, text string")
+    got = {r.doc_id: r.n_markov for r in find_secrets(df).collect()}
+    assert sum(got[i] for i in range(200)) >= 195
+    assert sum(got[i] for i in range(200, len(got))) == 0
+
+
+def test_training_and_sums(spark):
+    samples = labelled_samples(spark, 200)
+    assert samples.count() == 400 and len(train(samples)) == 68 * 68
+    assert set(train(samples.limit(0))) == {0.0}
+    n = 1000
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n + 1)), lambda x: x).alias("p"), F.transform(F.sequence(F.lit(1), F.lit(n)), lambda x: x % 7).alias("m"))
+    got = df.select(running_starts(F.col("p"), F.col("m"))).first()[0]
+    at, want = 0, []
+    for i in range(n):
+        at += i + 1
+        want.append(at)
+        at += (i + 1) % 7
+    assert got == want
