@@ -136,14 +136,31 @@ def _edges(checked: DataFrame, p: NearDuplicates) -> DataFrame:
     return checked.where(_linked(p)).select("a", "b")
 
 
-def links(members: DataFrame, texts: DataFrame, p: NearDuplicates) -> DataFrame:
+def _own_share(docs: DataFrame, texts: DataFrame, p: NearDuplicates) -> DataFrame:
+    """(doc, own): how many shingles of each no other of ``docs`` has."""
+    chosen = only(texts.join(docs.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "doc_id", "text")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = shingle_set(text.as_py(), p.words, p.fold_case).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), doc)), pa.array(s)], ["doc", "shingle"])
+
+    each = chosen.mapInArrow(rows, "doc long, shingle long")
+    each = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc").alias("doc"))
+    own = each.where("n = 1").groupBy("doc").agg(F.count("*").alias("own"))
+    return docs.select("doc").distinct().join(own, "doc", "left").select("doc", F.coalesce("own", F.lit(0)).alias("own"))
+
+
+def links(members: DataFrame, texts: DataFrame, sizes: DataFrame, p: NearDuplicates) -> DataFrame:
     """Edges (a, b) that connect what the buckets' linked pairs connect.
 
-    Small buckets: all pairs. Large ones: in rounds, all members are compared with the smallest
-    (their leader); those that link leave, the others go on among themselves. A member that is near
-    its leader, but doesn't link, might link to one that left: it is held against a few of these,
-    and if that hasn't joined the two, against all of them that the triangle inequality allows.
-    No cap drops a pair: what the rounds leave is compared in full.
+    Small buckets: all pairs. Large ones: in rounds, all members are compared with a leader, the one
+    with the smallest share of shingles of its own; those that link leave, the others go on among
+    themselves. A member that is near its leader, but doesn't link, might link to one that left: it
+    is held against a few of these, and if that hasn't joined the two, against all that two bounds
+    allow: the triangle inequality of Jaccard distance, and that shingles that no other member has
+    are never shared. No cap drops a pair: what the rounds leave is compared in full.
     """
     sized = members.groupBy("band").agg(F.count("*").alias("n"))
     active = members.join(sized.where("n > 1"), "band")
@@ -151,43 +168,56 @@ def links(members: DataFrame, texts: DataFrame, p: NearDuplicates) -> DataFrame:
     edges = _edges(checked, p)
     active = written(active.where(F.col("n") > p.small_bucket).select("band", "doc"))
     stars: DataFrame | None = None
+    if not active.isEmpty():
+        own = _own_share(active, texts, p).join(sizes.select(F.col("rep").alias("doc"), F.col("n_shingles").alias("n")), "doc")
+        own = written(own.select("doc", "n", "own", (F.col("own") / F.col("n")).alias("rare")))
+        active = written(active.join(own.select("doc", "rare"), "doc"))
     for k in range(p.rounds + 1):
         if active.isEmpty():
             break
         if k == p.rounds:
             edges = edges.union(_edges(_verified(_within(active), texts, p), p))
             break
-        leaders = active.groupBy("band").agg(F.min("doc").alias("a"))
-        star = written(active.join(leaders, "band").where("doc > a").select("band", "a", F.col("doc").alias("b")))
+        leaders = active.groupBy("band").agg(F.min(F.struct("rare", "doc")).alias("leader")).select("band", F.col("leader.doc").alias("a"))
+        star = written(active.join(leaders, "band").where("doc <> a").select("band", "a", F.col("doc").alias("b"), "rare"))
         against = _verified(star, texts, p)
         star = written(star.join(against, ["a", "b"]))
         edges = edges.union(_edges(star, p))
         near = star.where(_near(p))
         stars = near if stars is None else stars.union(near)
-        rest = star.where(~_linked(p)).select("band", F.col("b").alias("doc"))
+        rest = star.where(~_linked(p)).select("band", F.col("b").alias("doc"), "rare")
         sized = rest.groupBy("band").agg(F.count("*").alias("n"))
         rest = rest.join(sized.where("n > 1"), "band")
         few = rest.where(F.col("n") <= p.small_bucket)
         edges = edges.union(_edges(_verified(_within(few), texts, p), p))
-        active = written(rest.where(F.col("n") > p.small_bucket).select("band", "doc"))
+        active = written(rest.where(F.col("n") > p.small_bucket).select("band", "doc", "rare"))
     edges = written(edges.distinct())
     if stars is None:
         return edges
+    far = (1 - F.col("shared") / F.col("united")).alias("far")
+    loose = stars.where(~_linked(p)).select("band", "a", F.col("b").alias("x"), far.alias("far_x"))
+    held = stars.where(_linked(p)).select("band", "a", F.col("b").alias("y"), far.alias("far_y"), "rare")
     for probing in (True, False):
         part = connected_components(edges)
-        open_ = stars.where(~_linked(p)).join(part.select(F.col("node").alias("a"), F.col("component").alias("part_a")), "a", "left")
-        open_ = open_.join(part.select(F.col("node").alias("b"), F.col("component").alias("part_b")), "b", "left")
-        open_ = open_.where(~F.coalesce(F.col("part_a"), F.col("a")).eqNullSafe(F.coalesce(F.col("part_b"), F.col("b"))))
-        open_ = written(open_.select("band", "a", F.col("b").alias("x"), (1 - F.col("shared") / F.col("united")).alias("far_x")))
+        open_ = loose.join(part.select(F.col("node").alias("a"), F.col("component").alias("part_a")), "a", "left")
+        open_ = open_.join(part.select(F.col("node").alias("x"), F.col("component").alias("part_x")), "x", "left")
+        apart = ~F.coalesce("part_a", "a").eqNullSafe(F.coalesce("part_x", "x"))
+        open_ = written(open_.where(apart).select("band", "a", "x", "far_x"))
         if open_.isEmpty():
             break
-        held = stars.where(_linked(p)).select("band", "a", F.col("b").alias("y"), (1 - F.col("shared") / F.col("united")).alias("far_y"))
         if probing:
-            held = held.groupBy("band", "a").agg(F.max_by("y", "far_y").alias("y1"), F.max_by("y", F.xxhash64("y")).alias("y2"), F.min_by("y", F.xxhash64("y")).alias("y3"))
-            tried = open_.join(held, ["band", "a"]).select("x", F.explode(F.array_distinct(F.slice(F.array("y1", "y2", "y3"), 1, p.probes))).alias("y"))
+            few = held.groupBy("band", "a").agg(F.min_by("y", "rare").alias("y1"), F.min_by("y", F.xxhash64("y")).alias("y2"), F.max_by("y", "far_y").alias("y3"))
+            tried = open_.join(few, ["band", "a"]).select("x", F.explode(F.array_distinct(F.slice(F.array("y1", "y2", "y3"), 1, p.probes))).alias("y"))
         else:
+            bound = lambda c: own.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}"), (F.col("n") - F.col("own")).alias(f"most_{c}"))
+            sum_ = p.numerator + p.denominator
+            can = lambda c: F.col(f"most_{c}") * p.denominator >= F.col(f"n_{c}") * p.numerator
+            xs, ys = open_.join(bound("x"), "x").where(can("x")), held.join(bound("y"), "y").where(can("y"))
             reach = 1 - p.numerator / p.denominator + 1e-9
-            tried = open_.join(held, ["band", "a"]).where(F.col("far_y") >= F.col("far_x") - reach).select("x", "y")
+            near_enough = F.col("far_y") >= F.col("far_x") - reach
+            enough = F.least("most_x", "most_y") * sum_ >= (F.col("n_x") + F.col("n_y")) * p.numerator
+            on = (F.col("x.band") == F.col("y.band")) & (F.col("x.a") == F.col("y.a")) & near_enough & enough
+            tried = xs.alias("x").join(ys.alias("y"), on).select(F.col("x.x").alias("x"), F.col("y.y").alias("y"))
         tried = tried.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         edges = written(edges.union(_edges(_verified(tried, texts, p), p)).distinct())
     return edges
@@ -205,12 +235,12 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> Da
     docs = only(docs, "doc_id", "text")
     sketch = written(sketches(docs, p))
     full = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")))
+    classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("n_shingles").alias("n_shingles")))
     banded = classes.select(F.col("rep").alias("doc"), F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     members = written(banded.join(shared, "band"))
     texts = written(docs.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    parts = connected_components(links(members, texts, p))
+    parts = connected_components(links(members, texts, classes.select("rep", "n_shingles"), p))
     named = classes.join(parts, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = full.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select("doc_id", "n_shingles", "component_id")
     least = out.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
