@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -76,12 +79,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
     return only(docs, "doc_id", "text").mapInArrow(cut, _PIECE)
 
 
-def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Bins of indices: each size, largest first, goes to the bin that it leaves fullest."""
+def best_fit(sizes: list[int], capacity: int, order: list[int] | None = None) -> list[list[int]]:
+    """Bins of indices: each size, largest first or by ``order``, goes to the bin that it leaves fullest."""
     bins: list[list[int]] = []
     by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
     open_ = 0  # bit f: some bin has f free
-    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]) if order is None else order:
         size = sizes[i]
         if fits := open_ >> size:
             free = size + (fits & -fits).bit_length() - 1
@@ -98,85 +101,141 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(sizes: list[int], bins: list[list[int]], capacity: int, most_steps: int = 20_000) -> list[list[int]]:
+class _Index:
+    """Which underfull bins hold a document, or two documents, of a size, by the bins' room."""
+
+    def __init__(self, sizes: list[int], bins: list[list[int]], fill: list[int], capacity: int) -> None:
+        self.sizes, self.bins, self.fill, self.capacity = sizes, bins, fill, capacity
+        self.holders: dict[tuple, dict] = {}  # (how many, their size) -> {(room, bin): documents}
+        self.rooms: dict[tuple, Counter] = {}
+        self.masks: dict[tuple, int] = {}
+        self.added: dict[int, tuple[int, list[tuple]]] = {}
+
+    def add(self, k: int) -> None:
+        room, few = self.capacity - self.fill[k], sorted(self.bins[k], key=self.sizes.__getitem__)[:PAIR_DOCS]
+        found = {(0, 0): ()}
+        for i in self.bins[k]:
+            found.setdefault((1, self.sizes[i]), (i,))
+        for x in range(len(few)):
+            for y in range(x):
+                found.setdefault((2, self.sizes[few[x]] + self.sizes[few[y]]), (few[x], few[y]))
+        for key, docs in found.items():
+            self.holders.setdefault(key, {})[room, k] = docs
+            self.rooms.setdefault(key, Counter())[room] += 1
+            self.masks[key] = self.masks.get(key, 0) | 1 << room
+        self.added[k] = (room, list(found))
+
+    def remove(self, k: int) -> None:
+        if k not in self.added:
+            return
+        room, keys = self.added.pop(k)
+        for key in keys:
+            del self.holders[key][room, k]
+            self.rooms[key][room] -= 1
+            if not self.rooms[key][room]:
+                self.masks[key] &= ~(1 << room)
+
+    def find(self, total: int, counts: tuple[int, ...]) -> tuple[int, int, tuple] | None:
+        """(gain, bin, documents) to exchange for documents of size ``total``: the largest gain."""
+        widest = self.masks.get((0, 0), 0).bit_length() - 1
+        for gain in range(min(widest, total), 0, -1):
+            for n in counts:
+                key = (n, total - gain)
+                if (n == 0) == (gain == total) and (fits := self.masks.get(key, 0) >> gain):
+                    room = gain + (fits & -fits).bit_length() - 1
+                    k = min(b for r, b in self.holders[key] if r == room)
+                    return gain, k, self.holders[key][room, k]
+        return None
+
+
+def local_search(sizes: list[int], bins: list[list[int]], capacity: int, most_steps: int = 5_000) -> list[list[int]]:
     """Empties bins by steps that each raise the sum of squared fills.
 
     The emptiest underfull bin gives: it moves a document to a bin with room, or exchanges one for
-    a smaller one, one for two smaller ones, or two for a smaller one, always towards a fuller bin.
-    It ends when the total can't fill fewer bins, when no step is left, or after ``most_steps``.
+    a smaller one, one for two smaller ones, or two for a smaller one, always towards a fuller bin
+    and with the largest gain. A bin without such a step is left alone. It ends when the total
+    can't fill fewer bins, when a pass over all bins finds no step, or after ``most_steps`` steps.
     """
     fill = [sum(sizes[i] for i in b) for b in bins]
-    least = -(-sum(fill) // capacity)
-    live = {k for k, f in enumerate(fill) if 0 < f < capacity}
-    count, stuck, steps = sum(f > 0 for f in fill), set(), 0
-    while count > least and steps < most_steps:
-        giver = min((k for k in live if k not in stuck), key=lambda k: (fill[k], k), default=None)
-        if giver is None:
-            break
-        step = _best_step(sizes, bins, fill, live, giver, capacity)
-        if step is None:
-            stuck.add(giver)
-            continue
-        steps += 1
-        gives, taker, takes = step
-        gain = sum(sizes[i] for i in gives) - sum(sizes[i] for i in takes)
-        bins[giver] = [i for i in bins[giver] if i not in gives] + list(takes)
-        bins[taker] = [i for i in bins[taker] if i not in takes] + list(gives)
-        fill[giver] -= gain
-        fill[taker] += gain
-        stuck.clear()
-        if not fill[giver]:
-            live.discard(giver)
-            count -= 1
-        if fill[taker] == capacity:
-            live.discard(taker)
+    least, steps, before = -(-sum(fill) // capacity), 0, -1
+    while steps > before and sum(map(bool, bins)) > least and steps < most_steps:
+        before, count = steps, sum(map(bool, bins))
+        index = _Index(sizes, bins, fill, capacity)
+        order = sorted((f, k) for k, f in enumerate(fill) if 0 < f < capacity)
+        for _, k in order:
+            index.add(k)
+        heapq.heapify(order)
+        while order and count > least and steps < most_steps:
+            known, giver = heapq.heappop(order)
+            if giver not in index.added or fill[giver] != known:
+                continue  # it has changed since, or is done
+            index.remove(giver)
+            while bins[giver] and steps < most_steps:
+                step = _best_step(sizes, bins[giver], index)
+                if step is None:
+                    break
+                steps += 1
+                gain, gives, taker, takes = step
+                index.remove(taker)
+                bins[giver] = [i for i in bins[giver] if i not in gives] + list(takes)
+                bins[taker] = [i for i in bins[taker] if i not in takes] + list(gives)
+                fill[giver] -= gain
+                fill[taker] += gain
+                if fill[taker] < capacity:
+                    index.add(taker)
+                    heapq.heappush(order, (fill[taker], taker))
+            if not bins[giver]:
+                count -= 1
     return [b for b in bins if b]
 
 
-def _best_step(sizes, bins, fill, live, giver, capacity) -> tuple[tuple, int, tuple] | None:
-    """(given, taking bin, taken back) with the largest gain of the taker, documents moved first."""
-    takers = [k for k in live if k != giver and fill[k] >= fill[giver]]
-    if not takers:
-        return None
-    mine = sorted(bins[giver], key=lambda i: -sizes[i])
-    room = max(takers, key=lambda k: capacity - fill[k])
-    for i in mine:  # a move
-        if sizes[i] <= capacity - fill[room]:
-            fits = [k for k in takers if capacity - fill[k] >= sizes[i]]
-            return (i,), min(fits, key=lambda k: (capacity - fill[k], k)), ()
-    singles = [(k, i) for k in takers for i in bins[k]]
-    at = np.array([k for k, _ in singles])
-    size = np.array([sizes[i] for _, i in singles])
-    free = capacity - np.array([fill[k] for k in at])
-    small = [(k, sorted(bins[k], key=lambda i: sizes[i])[:PAIR_DOCS]) for k in takers]
-    pairs = [(k, b[x], b[y]) for k, b in small for x in range(len(b)) for y in range(x)]
-    two = np.array([sizes[i] + sizes[j] for _, i, j in pairs])
-    two_free = capacity - np.array([fill[k] for k, _, _ in pairs])
-    best, gain = None, 0
-
-    def consider(given: tuple, total: int, against, room_left, name) -> None:
-        nonlocal best, gain
-        if len(against):
-            d = total - against
-            d = np.where((d > gain) & (d <= room_left), d, 0)
-            if (k := int(d.argmax())) >= 0 and d[k] > gain:
-                best, gain = name(given, k), int(d[k])
-
-    one = lambda given, k: (given, singles[k][0], (singles[k][1],))
-    both = lambda given, k: (given, pairs[k][0], pairs[k][1:])
+def _best_step(sizes: list[int], mine: list[int], index: _Index) -> tuple[int, tuple, int, tuple] | None:
+    """(gain, given, taking bin, taken back); a move of the largest document that fits comes first."""
+    mine = sorted(mine, key=lambda i: -sizes[i])
+    best, tried = None, set()
     for i in mine:
-        consider((i,), sizes[i], size, free, one)
-        consider((i,), sizes[i], two, two_free, both)
+        if sizes[i] not in tried and (found := index.find(sizes[i], (0,))):
+            return found[0], (i,), found[1], found[2]
+        tried.add(sizes[i])
+    tried.clear()
+    for i in mine:
+        if sizes[i] not in tried and (found := index.find(sizes[i], (1, 2))) and (best is None or found[0] > best[0]):
+            best = (found[0], (i,), found[1], found[2])
+        tried.add(sizes[i])
     few = mine[-PAIR_DOCS:]
+    tried.clear()
     for x in range(len(few)):
         for y in range(x):
-            consider((few[x], few[y]), sizes[few[x]] + sizes[few[y]], size, free, one)
+            total = sizes[few[x]] + sizes[few[y]]
+            if total not in tried and (found := index.find(total, (1,))) and (best is None or found[0] > best[0]):
+                best = (found[0], (few[x], few[y]), found[1], found[2])
+            tried.add(total)
     return best
 
 
+def by_halves(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Bins filled in turn: the largest left, then what fits best; where two more fit, first the one
+    nearest to half the room. Better than best fit where all sizes lie close together."""
+    left, bins = sorted((s, i) for i, s in enumerate(sizes)), []
+    while left:
+        size, i = left.pop()
+        room, members = capacity - size, [i]
+        while left and left[0][0] <= room:
+            aim = room // 2 if len(members) == 1 and 2 * left[0][0] <= room else room
+            size, i = left.pop(max(0, bisect.bisect_right(left, (aim, len(sizes))) - 1))
+            members.append(i)
+            room -= size
+        bins.append(members)
+    return bins
+
+
 def pack_sizes(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Best fit, then local search."""
-    return local_search(sizes, best_fit(sizes, capacity), capacity)
+    """Local search from two starts; the one with fewer bins."""
+    found = best_fit(sizes, capacity)
+    if len(found) > -(-sum(sizes) // capacity):
+        starts = (found, by_halves(sizes, capacity))
+        found = min((local_search(sizes, b, capacity) for b in starts), key=len)
+    return found
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, group: int = GROUP) -> DataFrame:
