@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import covered, only, small_batches, window_hashes, word_hashes, written
+from marlstone.llm.common import covered, only, partitions, small_batches, window_hashes, word_hashes
 
-_ANCHOR, _HIGH, _LOW = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
+_ANCHOR, _HIGH = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 
 
 @dataclass(frozen=True)
@@ -46,55 +46,174 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def _anchor_rows(docs: DataFrame, cover: Cover) -> DataFrame:
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Anchors or windows that a task gathers before it deals them to parts.
+BUFFER = 1_000_000
+#: Bytes of an anchor's hash that travel; a chance match only makes a window be looked at in full.
+ANCHOR_BYTES = 5
+_BLOB = "part int, known boolean, docs binary, counts binary, values binary, starts binary"
+_BLOB_KINDS = (pa.int32(), pa.bool_(), *[pa.binary()] * 4)
+
+
+def _short(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The low ``size`` bytes of each hash, as unsigned integers."""
+    return hashes & np.uint64((1 << 8 * size) - 1)
+
+
+def _bytes(values: np.ndarray, size: int) -> bytes:
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
+
+
+def _numbers(raw: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(raw) // size, 8), dtype=np.uint8)
+    out[:, :size] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, size)
+    return out.view("<u8").ravel()
+
+
+class _Dealer:
+    """Gathers (hash, document, start) and yields them as blobs by part of the hash, or of the
+    document for what is ``known`` already: of equal hashes only the smallest id travels on; the
+    others meet it here, so a hot passage costs each task one row a part."""
+
+    def __init__(self, parts: int, size: int, with_starts: bool) -> None:
+        self.parts, self.size, self.with_starts = parts, size, with_starts
+        self.clear()
+
+    def clear(self) -> None:
+        self.held, self.count = [], 0
+
+    def add(self, doc: int, hashes: np.ndarray, starts: np.ndarray | None = None) -> None:
+        self.held.append((doc, hashes, starts))
+        self.count += len(hashes)
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.count:
+            return
+        hashes = np.concatenate([h for _, h, _ in self.held])
+        docs = np.repeat(np.array([d for d, _, _ in self.held], dtype=np.int64), [len(h) for _, h, _ in self.held])
+        starts = np.concatenate([s for _, _, s in self.held]).astype(np.int64) if self.with_starts else np.zeros(len(docs), dtype=np.int64)
+        self.clear()
+        order = np.lexsort((starts, docs, hashes))
+        hashes, docs, starts = hashes[order], docs[order], starts[order]
+        new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+        group = np.cumsum(new) - 1
+        least = docs[np.flatnonzero(new)][group]
+        if self.with_starts:  # later documents' windows go; the first one's travel on
+            known, sent = docs > least, docs == least
+        else:  # anchors that two documents have are shared; one of them travels on
+            known = (docs[np.flatnonzero(np.append(new[1:], True))] != docs[np.flatnonzero(new)])[group]
+            sent = new
+        top = (hashes >> np.uint64(40)).astype(np.int64)
+        yield from self._blobs(True, docs[known] % self.parts, docs[known], hashes[known], starts[known])
+        yield from self._blobs(False, top[sent] % self.parts, docs[sent], hashes[sent], starts[sent])
+
+    def _blobs(self, known, part, docs, hashes, starts) -> Iterator[pa.RecordBatch]:
+        if not len(docs):
+            return
+        order = np.lexsort((docs, part))
+        part, docs, hashes, starts = part[order], docs[order], hashes[order], starts[order]
+        edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        rows = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            ids, counts = np.unique(docs[a:b], return_counts=True)
+            values = b"" if known and self.with_starts else _bytes(_short(hashes[a:b], self.size), self.size)
+            where = starts[a:b].astype("<i4").tobytes() if self.with_starts else b""
+            rows.append((int(part[a]), known, ids.astype("<i8").tobytes(), counts.astype("<i4").tobytes(), values, where))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _BLOB_KINDS, strict=True)], _BLOB.replace(",", "").split()[::2])
+
+
+def _met(blobs: DataFrame, parts: int, size: int, with_starts: bool) -> DataFrame:
+    """(doc_id, found): of each part, per document the anchors that are shared, or the starts that go."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts_: dict[int, list] = {}
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = _words(text.as_py())
-                if doc is None or len(words) < cover.window:
-                    continue
-                found = np.unique(cover.anchors(word_hashes(words))[1]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), doc, dtype=np.int64))], ["anchor", "doc_id"])
+            for part, known, *raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                docs = np.repeat(np.frombuffer(raw[0], "<i8"), np.frombuffer(raw[1], "<i4"))
+                starts = np.frombuffer(raw[3], "<i4") if with_starts else None
+                if known:
+                    yield from _per_doc(docs, starts if with_starts else _numbers(raw[2], size), with_starts, size)
+                else:
+                    parts_.setdefault(part, []).append((docs, _numbers(raw[2], size), starts))
+        for part in list(parts_):
+            pieces = parts_.pop(part)
+            docs, values = (np.concatenate([x[k] for x in pieces]) for k in (0, 1))
+            order = np.lexsort((docs, values))
+            docs, values = docs[order], values[order]
+            new = np.concatenate([[True], values[1:] != values[:-1]])
+            group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+            if with_starts:
+                starts = np.concatenate([x[2] for x in pieces])[order]
+                hit = docs > docs[first][group]
+                yield from _per_doc(docs[hit], starts[hit], True, size)
+            else:
+                last = np.flatnonzero(np.append(new[1:], True))
+                hit = (docs[last] != docs[first])[group]
+                yield from _per_doc(docs[hit], values[hit], False, size)
+
+    return blobs.repartition(parts, "part").mapInArrow(meet, "doc_id long, found binary")
+
+
+def _per_doc(docs: np.ndarray, values: np.ndarray, with_starts: bool, size: int) -> Iterator[pa.RecordBatch]:
+    if not len(docs):
+        return
+    order = np.argsort(docs, kind="stable")
+    docs, values = docs[order], values[order]
+    edges = [0, *(np.flatnonzero(docs[1:] != docs[:-1]) + 1).tolist(), len(docs)]
+    pack = (lambda v: v.astype("<i4").tobytes()) if with_starts else (lambda v: _bytes(v, size))
+    cuts = list(zip(edges[:-1], edges[1:], strict=True))
+    for k in range(0, len(cuts), 4096):
+        some = cuts[k : k + 4096]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([int(docs[a]) for a, _ in some], pa.int64()), pa.array([pack(values[a:b]) for a, b in some], pa.binary())], ["doc_id", "found"]
+        )
 
-    return docs.mapInArrow(rows, "anchor long, doc_id long")
 
+def _gathered(found: DataFrame) -> DataFrame:
+    return found.groupBy("doc_id").agg(F.collect_list("found").alias("found"))
+
+
+def repeated_starts(docs: DataFrame, cover: Cover = Cover()) -> DataFrame:
+    """(doc_id, found): where windows start in a document that also start in one with a smaller id.
+
+    ``found``: binaries of little-endian 32-bit starts. Only hashes at cover positions are dealt out;
+    those that two documents have go back to their documents, whose windows around them are hashed
+    whole, dealt out, and held against the smallest id with the same hash. Tasks exchange packed
+    blobs by part of the hash; equal ones meet first in the task they come from, and groups are only
+    reduced to their smallest id, never paired, so a common passage costs its occurrences.
+    """
+    parts = 2 * partitions(docs.sparkSession)
 
-def _window_rows(docs: DataFrame, cover: Cover) -> DataFrame:
-    """Of (doc_id, text, anchors): the whole windows that hold a shared anchor, as 128-bit hashes."""
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer = _Dealer(parts, ANCHOR_BYTES, False)
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if doc is not None:
+                    words = _words(text.as_py())
+                    if len(words) >= cover.window:
+                        dealer.add(doc, np.unique(cover.anchors(word_hashes(words))[1]))
+                if dealer.count >= BUFFER:
+                    yield from dealer.flush()
+        yield from dealer.flush()
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer = _Dealer(parts, 8, True)
         for batch in batches:
             for doc, text, shared in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 hashes = word_hashes(_words(text.as_py()))
                 at, found = cover.anchors(hashes)
-                hit = at[np.isin(found.view(np.int64), np.asarray(shared.values))]
+                known = _numbers(b"".join(shared.as_py()), ANCHOR_BYTES)
+                hit = at[np.isin(_short(found, ANCHOR_BYTES), known)]
                 # a window from p holds the anchors that start at p to p + period - 1
                 starts = np.unique((hit[:, None] - np.arange(cover.period)).ravel())
                 starts = starts[(starts >= 0) & (starts <= len(hashes) - cover.window)]
-                if len(starts):
-                    high, low = (window_hashes(hashes, cover.window, m)[starts].view(np.int64) for m in (_HIGH, _LOW))
-                    ids = pa.array(np.full(len(starts), doc, dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(high), pa.array(low), ids, pa.array(starts.astype(np.int32))], ["high", "low", "doc_id", "start"])
-
-    return docs.mapInArrow(rows, "high long, low long, doc_id long, start int")
+                dealer.add(doc, window_hashes(hashes, cover.window, _HIGH)[starts], starts)
+                if dealer.count >= BUFFER:
+                    yield from dealer.flush()
+        yield from dealer.flush()
 
-
-def repeated_starts(docs: DataFrame, cover: Cover = Cover()) -> DataFrame:
-    """(doc_id, starts): where windows start in a document that also start in one with a smaller id.
-
-    Anchors that only one document has are dropped by a grouped minimum and maximum; what is left is
-    gathered per document, whose windows around them are hashed whole. Groups are only ever reduced
-    to their smallest id, never paired, so common passages cost their occurrences.
-    """
-    anchors = written(_anchor_rows(docs, cover))
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    shared = shared.where("low < high").select("anchor")
-    per_doc = written(anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")))
-    windows = written(_window_rows(docs.join(per_doc, "doc_id").select("doc_id", "text", "anchors"), cover))
-    first = windows.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    first = first.where("first < last").select("high", "low", "first")
-    later = windows.join(first, ["high", "low"]).where("doc_id > first")
-    return later.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
+    shared = _gathered(_met(docs.mapInArrow(anchors, _BLOB), parts, ANCHOR_BYTES, False))
+    near = docs.join(shared, "doc_id").select("doc_id", "text", "found")
+    return _gathered(_met(near.mapInArrow(windows, _BLOB), parts, 8, True))
 
 
 def cut_repeats(docs: DataFrame, cover: Cover = Cover()) -> DataFrame:
@@ -108,7 +227,7 @@ def cut_repeats(docs: DataFrame, cover: Cover = Cover()) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     docs = only(docs, "doc_id", "text")
-    starts = written(repeated_starts(docs, cover))
+    starts = repeated_starts(docs, cover)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,7 +236,8 @@ def cut_repeats(docs: DataFrame, cover: Cover = Cover()) -> DataFrame:
                 words = _words(text.as_py())
                 left = words
                 if found.is_valid:
-                    gone = covered(len(words), np.asarray(found.values)[np.asarray(found.values) <= len(words) - cover.window], cover.window)
+                    at = np.unique(np.frombuffer(b"".join(found.as_py()), "<i4"))
+                    gone = covered(len(words), at[at <= len(words) - cover.window], cover.window)
                     left = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 counts.append(len(words))
                 removed.append(len(words) - len(left))
@@ -127,7 +247,7 @@ def cut_repeats(docs: DataFrame, cover: Cover = Cover()) -> DataFrame:
                 ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
             )
 
-    return docs.join(starts, "doc_id", "left").select("doc_id", "text", "starts").mapInArrow(
+    return docs.join(starts, "doc_id", "left").select("doc_id", "text", "found").mapInArrow(
         cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
     )
 
