@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from marlstone.llm import minhash, packing, pii, quality, secrets, substrings
+from marlstone.llm import minhash, packing, pii, quality, secrets, substrings, urls
 
 QUERIES = {
+    "op2_url_filter": urls.op2_url_filter,
     "op1_secret_scan": secrets.op1_secret_scan,
     "op5_substring_dedup": substrings.op5_substring_dedup,
     "op6_pii": pii.op6_pii,
