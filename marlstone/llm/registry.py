@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from marlstone.llm import minhash, packing, pii, quality, secrets, shards, substrings, urls
+from marlstone.llm import minhash, packing, pii, quality, secrets, shards, substrings, urls, warc
 
 QUERIES = {
+    "op3_warc": warc.op3_warc,
     "op9_shards": shards.op9_shards,
     "op2_url_filter": urls.op2_url_filter,
     "op1_secret_scan": secrets.op1_secret_scan,
