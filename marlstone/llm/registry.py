@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from marlstone.llm import minhash, packing, pii, quality, secrets, shards, substrings, urls, warc
+from marlstone.llm import contamination, minhash, packing, pii, quality, secrets, shards, substrings, urls, warc
 
 QUERIES = {
+    "op4_decontamination": contamination.op4_decontamination,
     "op3_warc": warc.op3_warc,
     "op9_shards": shards.op9_shards,
     "op2_url_filter": urls.op2_url_filter,
