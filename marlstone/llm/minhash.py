@@ -30,8 +30,8 @@ class NearDuplicates:
     small_bucket: int = 16
     #: Rounds of leaders before what is left of a large bucket is compared in full.
     rounds: int = 8
-    #: Linked members of a leader that each member near to it is first held against.
-    probes: int = 3
+    #: Members of a block, where a bucket is compared in blocks.
+    block: int = 64
 
 
 def shingle_set(text: str | None, size: int, fold_case: bool = False) -> np.ndarray:
@@ -157,10 +157,9 @@ def links(members: DataFrame, texts: DataFrame, sizes: DataFrame, p: NearDuplica
 
     Small buckets: all pairs. Large ones: in rounds, all members are compared with a leader, the one
     with the smallest share of shingles of its own; those that link leave, the others go on among
-    themselves. A member that is near its leader, but doesn't link, might link to one that left: it
-    is held against a few of these, and if that hasn't joined the two, against all that two bounds
-    allow: the triangle inequality of Jaccard distance, and that shingles that no other member has
-    are never shared. No cap drops a pair: what the rounds leave is compared in full.
+    themselves. A member that is near its leader, but doesn't link, might link to one that left,
+    unless too many of its shingles are in no other member: it is held against all of these, blocks
+    against blocks. No cap drops a pair: what the rounds leave is compared in full, in blocks too.
     """
     sized = members.groupBy("band").agg(F.count("*").alias("n"))
     active = members.join(sized.where("n > 1"), "band")
@@ -176,7 +175,7 @@ def links(members: DataFrame, texts: DataFrame, sizes: DataFrame, p: NearDuplica
         if active.isEmpty():
             break
         if k == p.rounds:
-            edges = edges.union(_edges(_verified(_within(active), texts, p), p))
+            edges = edges.union(_block_links(active.select(F.col("band").alias("group"), "doc"), None, texts, p))
             break
         leaders = active.groupBy("band").agg(F.min(F.struct("rare", "doc")).alias("leader")).select("band", F.col("leader.doc").alias("a"))
         star = written(active.join(leaders, "band").where("doc <> a").select("band", "a", F.col("doc").alias("b"), "rare"))
@@ -191,36 +190,59 @@ def links(members: DataFrame, texts: DataFrame, sizes: DataFrame, p: NearDuplica
         few = rest.where(F.col("n") <= p.small_bucket)
         edges = edges.union(_edges(_verified(_within(few), texts, p), p))
         active = written(rest.where(F.col("n") > p.small_bucket).select("band", "doc", "rare"))
-    edges = written(edges.distinct())
-    if stars is None:
-        return edges
-    far = (1 - F.col("shared") / F.col("united")).alias("far")
-    loose = stars.where(~_linked(p)).select("band", "a", F.col("b").alias("x"), far.alias("far_x"))
-    held = stars.where(_linked(p)).select("band", "a", F.col("b").alias("y"), far.alias("far_y"), "rare")
-    for probing in (True, False):
-        part = connected_components(edges)
-        open_ = loose.join(part.select(F.col("node").alias("a"), F.col("component").alias("part_a")), "a", "left")
-        open_ = open_.join(part.select(F.col("node").alias("x"), F.col("component").alias("part_x")), "x", "left")
-        apart = ~F.coalesce("part_a", "a").eqNullSafe(F.coalesce("part_x", "x"))
-        open_ = written(open_.where(apart).select("band", "a", "x", "far_x"))
-        if open_.isEmpty():
-            break
-        if probing:
-            few = held.groupBy("band", "a").agg(F.min_by("y", "rare").alias("y1"), F.min_by("y", F.xxhash64("y")).alias("y2"), F.max_by("y", "far_y").alias("y3"))
-            tried = open_.join(few, ["band", "a"]).select("x", F.explode(F.array_distinct(F.slice(F.array("y1", "y2", "y3"), 1, p.probes))).alias("y"))
-        else:
-            bound = lambda c: own.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}"), (F.col("n") - F.col("own")).alias(f"most_{c}"))
-            sum_ = p.numerator + p.denominator
-            can = lambda c: F.col(f"most_{c}") * p.denominator >= F.col(f"n_{c}") * p.numerator
-            xs, ys = open_.join(bound("x"), "x").where(can("x")), held.join(bound("y"), "y").where(can("y"))
-            reach = 1 - p.numerator / p.denominator + 1e-9
-            near_enough = F.col("far_y") >= F.col("far_x") - reach
-            enough = F.least("most_x", "most_y") * sum_ >= (F.col("n_x") + F.col("n_y")) * p.numerator
-            on = (F.col("x.band") == F.col("y.band")) & (F.col("x.a") == F.col("y.a")) & near_enough & enough
-            tried = xs.alias("x").join(ys.alias("y"), on).select(F.col("x.x").alias("x"), F.col("y.y").alias("y"))
-        tried = tried.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        edges = written(edges.union(_edges(_verified(tried, texts, p), p)).distinct())
-    return edges
+    if stars is not None:
+        # to link at all, a set may have so many shingles of its own at most
+        open_ = stars.where(~_linked(p)).select(F.col("a").alias("group"), F.col("b").alias("doc")).distinct()
+        open_ = open_.join(own, "doc").where((F.col("n") - F.col("own")) * p.denominator >= F.col("n") * p.numerator)
+        held = stars.where(_linked(p)).select(F.col("a").alias("group"), F.col("b").alias("doc")).distinct()
+        edges = edges.union(_block_links(open_.select("group", "doc"), held, texts, p))
+    return edges.distinct()
+
+
+def _blocked(members: DataFrame, texts: DataFrame, p: NearDuplicates) -> DataFrame:
+    """(group, block, ids, texts) of members (group, doc), dealt to blocks of bounded expected size."""
+    sized = members.groupBy("group").agg(F.ceil(F.count("*") / p.block).alias("blocks"))
+    dealt = members.join(sized, "group").select("group", "doc", F.pmod(F.xxhash64("doc"), "blocks").alias("block"))
+    dealt = dealt.join(texts.select(F.col("doc_id").alias("doc"), "text"), "doc")
+    return dealt.groupBy("group", "block").agg(F.collect_list("doc").alias("ids"), F.collect_list("text").alias("texts"))
+
+
+def _block_links(left: DataFrame, right: DataFrame | None, texts: DataFrame, p: NearDuplicates) -> DataFrame:
+    """Links of each group's left members to its right ones, or among the left ones if there are no
+    right ones: blocks meet blocks, and each meeting gives the links of a spanning forest only."""
+    mine = written(_blocked(left, texts, p))
+    other = mine if right is None else _blocked(right, texts, p)
+    other = other.select("group", F.col("block").alias("block_2"), F.col("ids").alias("ids_2"), F.col("texts").alias("texts_2"))
+    met = mine.join(other, "group").where(F.lit(right is not None) | (F.col("block") <= F.col("block_2")))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, texts_, ids_2, texts_2 in zip(*(batch.column(k) for k in range(4)), strict=True):
+                a, b = ids.as_py(), ids_2.as_py()
+                sets = [shingle_set(t, p.words, p.fold_case) for t in texts_2.as_py()]
+                sizes = np.array([len(s) for s in sets])
+                all_ = np.concatenate(sets)
+                starts = np.cumsum(sizes) - sizes
+                root: dict[int, int] = {}
+
+                def find(x: int, root: dict[int, int] = root) -> int:
+                    while root.setdefault(x, x) != x:
+                        x = root[x]
+                    return x
+
+                found = []
+                for x, t in zip(a, texts_.as_py(), strict=True):
+                    s = shingle_set(t, p.words, p.fold_case)
+                    at = np.minimum(np.searchsorted(s, all_), len(s) - 1)
+                    shared = np.add.reduceat(s[at] == all_, starts, dtype=np.int64)
+                    for k in np.flatnonzero(shared * p.denominator >= (len(s) + sizes - shared) * p.numerator):
+                        if find(x) != find(b[k]):
+                            root[find(x)] = find(b[k])
+                            found.append((x, b[k]))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    return written(met.select("ids", "texts", "ids_2", "texts_2").repartition("ids", "ids_2").mapInArrow(compare, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> DataFrame:
