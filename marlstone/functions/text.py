@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # ---- fixed values ---------------------------------------------------------------------------
 
@@ -265,7 +266,7 @@ def repaired(text: str) -> str:
     return re.sub(f"[ÂÃÅ]{later}|â{later}{{2}}|ð{later}{{3}}", decoded, text.replace("Ã ", "Ã "))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def repair_mojibake(text: pd.Series) -> pd.Series:
     """Texts with their garbled characters repaired; nulls stay."""
     return text.map(lambda t: None if t is None else repaired(t))
