@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.plans import market
+from marlstone.plans import changes, market, people
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for _module in (market,):
+for _module in (market, changes, people):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
