@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,10 +104,10 @@ class _Dealer:
             known = (docs[np.flatnonzero(np.append(new[1:], True))] != docs[np.flatnonzero(new)])[group]
             sent = new
         top = (hashes >> np.uint64(40)).astype(np.int64)
-        yield from self._blobs(True, docs[known] % self.parts, docs[known], hashes[known], starts[known])
-        yield from self._blobs(False, top[sent] % self.parts, docs[sent], hashes[sent], starts[sent])
+        yield from self.blobs(True, docs[known] % self.parts, docs[known], hashes[known], starts[known])
+        yield from self.blobs(False, top[sent] % self.parts, docs[sent], hashes[sent], starts[sent])
 
-    def _blobs(self, known, part, docs, hashes, starts) -> Iterator[pa.RecordBatch]:
+    def blobs(self, known, part, docs, hashes, starts) -> Iterator[pa.RecordBatch]:
         if not len(docs):
             return
         order = np.lexsort((docs, part))
@@ -122,20 +123,19 @@ class _Dealer:
 
 
 def _met(blobs: DataFrame, parts: int, size: int, with_starts: bool) -> DataFrame:
-    """(doc_id, found): of each part, per document the anchors that are shared, or the starts that go."""
+    """Blobs by part of the document: the anchors that are shared, or the starts that go."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts_: dict[int, list] = {}
+        held: dict[int, list] = {}
         for batch in batches:
-            for part, known, *raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            known = batch.column(1)
+            if (passed := batch.filter(known)).num_rows:
+                yield passed
+            for part, _, *raw in zip(*(c.to_pylist() for c in batch.filter(pc.invert(known)).columns), strict=True):
                 docs = np.repeat(np.frombuffer(raw[0], "<i8"), np.frombuffer(raw[1], "<i4"))
-                starts = np.frombuffer(raw[3], "<i4") if with_starts else None
-                if known:
-                    yield from _per_doc(docs, starts if with_starts else _numbers(raw[2], size), with_starts, size)
-                else:
-                    parts_.setdefault(part, []).append((docs, _numbers(raw[2], size), starts))
-        for part in list(parts_):
-            pieces = parts_.pop(part)
+                held.setdefault(part, []).append((docs, _numbers(raw[2], size), np.frombuffer(raw[3], "<i4") if with_starts else None))
+        for part in list(held):
+            pieces = held.pop(part)
             docs, values = (np.concatenate([x[k] for x in pieces]) for k in (0, 1))
             order = np.lexsort((docs, values))
             docs, values = docs[order], values[order]
@@ -144,32 +144,39 @@ def _met(blobs: DataFrame, parts: int, size: int, with_starts: bool) -> DataFram
             if with_starts:
                 starts = np.concatenate([x[2] for x in pieces])[order]
                 hit = docs > docs[first][group]
-                yield from _per_doc(docs[hit], starts[hit], True, size)
             else:
+                starts = np.zeros(len(docs), dtype=np.int64)
                 last = np.flatnonzero(np.append(new[1:], True))
                 hit = (docs[last] != docs[first])[group]
-                yield from _per_doc(docs[hit], values[hit], False, size)
+            yield from _Dealer(parts, size, with_starts).blobs(True, docs[hit] % parts, docs[hit], values[hit], starts[hit])
 
-    return blobs.repartition(parts, "part").mapInArrow(meet, "doc_id long, found binary")
+    return blobs.repartition(parts, "part").mapInArrow(meet, _BLOB)
 
 
-def _per_doc(docs: np.ndarray, values: np.ndarray, with_starts: bool, size: int) -> Iterator[pa.RecordBatch]:
-    if not len(docs):
-        return
-    order = np.argsort(docs, kind="stable")
-    docs, values = docs[order], values[order]
-    edges = [0, *(np.flatnonzero(docs[1:] != docs[:-1]) + 1).tolist(), len(docs)]
-    pack = (lambda v: v.astype("<i4").tobytes()) if with_starts else (lambda v: _bytes(v, size))
-    cuts = list(zip(edges[:-1], edges[1:], strict=True))
-    for k in range(0, len(cuts), 4096):
-        some = cuts[k : k + 4096]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([int(docs[a]) for a, _ in some], pa.int64()), pa.array([pack(values[a:b]) for a, b in some], pa.binary())], ["doc_id", "found"]
-        )
+def _gathered(blobs: DataFrame, parts: int, size: int, with_starts: bool) -> DataFrame:
+    """(doc_id, found): one row per document, its anchors or starts packed."""
+    width = 4 if with_starts else size
 
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for part, _, *raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                docs = np.repeat(np.frombuffer(raw[0], "<i8"), np.frombuffer(raw[1], "<i4"))
+                held.setdefault(part, []).append((docs, np.frombuffer(raw[3] if with_starts else raw[2], dtype=np.uint8).reshape(-1, width)))
+        for part in list(held):
+            pieces = held.pop(part)
+            docs, values = (np.concatenate([x[k] for x in pieces]) for k in (0, 1))
+            order = np.argsort(docs, kind="stable")
+            docs, values = docs[order], values[order]
+            edges = [0, *(np.flatnonzero(docs[1:] != docs[:-1]) + 1).tolist(), len(docs)]
+            cuts = list(zip(edges[:-1], edges[1:], strict=True))
+            for k in range(0, len(cuts), 1024):
+                some = cuts[k : k + 1024]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(docs[a]) for a, _ in some], pa.int64()), pa.array([values[a:b].tobytes() for a, b in some], pa.binary())], ["doc_id", "found"]
+                )
 
-def _gathered(found: DataFrame) -> DataFrame:
-    return found.groupBy("doc_id").agg(F.collect_list("found").alias("found"))
+    return blobs.repartition(parts, "part").mapInArrow(gather, "doc_id long, found binary")
 
 
 def repeated_starts(docs: DataFrame, cover: Cover = Cover()) -> DataFrame:
@@ -201,7 +208,7 @@ def repeated_starts(docs: DataFrame, cover: Cover = Cover()) -> DataFrame:
             for doc, text, shared in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 hashes = word_hashes(_words(text.as_py()))
                 at, found = cover.anchors(hashes)
-                known = _numbers(b"".join(shared.as_py()), ANCHOR_BYTES)
+                known = _numbers(shared.as_py(), ANCHOR_BYTES)
                 hit = at[np.isin(_short(found, ANCHOR_BYTES), known)]
                 # a window from p holds the anchors that start at p to p + period - 1
                 starts = np.unique((hit[:, None] - np.arange(cover.period)).ravel())
@@ -211,9 +218,9 @@ def repeated_starts(docs: DataFrame, cover: Cover = Cover()) -> DataFrame:
                     yield from dealer.flush()
         yield from dealer.flush()
 
-    shared = _gathered(_met(docs.mapInArrow(anchors, _BLOB), parts, ANCHOR_BYTES, False))
+    shared = _gathered(_met(docs.mapInArrow(anchors, _BLOB), parts, ANCHOR_BYTES, False), parts, ANCHOR_BYTES, False)
     near = docs.join(shared, "doc_id").select("doc_id", "text", "found")
-    return _gathered(_met(near.mapInArrow(windows, _BLOB), parts, 8, True))
+    return _gathered(_met(near.mapInArrow(windows, _BLOB), parts, 8, True), parts, 8, True)
 
 
 def cut_repeats(docs: DataFrame, cover: Cover = Cover()) -> DataFrame:
@@ -226,7 +233,8 @@ def cut_repeats(docs: DataFrame, cover: Cover = Cover()) -> DataFrame:
     ids lose nothing; an empty table gives no rows; other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    docs = only(docs, "doc_id", "text")
+    every = only(docs, "doc_id", "text")
+    docs = every.where("doc_id IS NOT NULL")  # both joins then read one exchange of the texts
     starts = repeated_starts(docs, cover)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +244,7 @@ def cut_repeats(docs: DataFrame, cover: Cover = Cover()) -> DataFrame:
                 words = _words(text.as_py())
                 left = words
                 if found.is_valid:
-                    at = np.unique(np.frombuffer(b"".join(found.as_py()), "<i4"))
+                    at = np.unique(np.frombuffer(found.as_py(), "<i4"))
                     gone = covered(len(words), at[at <= len(words) - cover.window], cover.window)
                     left = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 counts.append(len(words))
@@ -247,7 +255,8 @@ def cut_repeats(docs: DataFrame, cover: Cover = Cover()) -> DataFrame:
                 ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
             )
 
-    return docs.join(starts, "doc_id", "left").select("doc_id", "text", "found").mapInArrow(
+    bare = every.where("doc_id IS NULL").withColumn("found", F.lit(None).cast("binary"))
+    return docs.join(starts, "doc_id", "left").select("doc_id", "text", "found").union(bare).mapInArrow(
         cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
     )
 
