@@ -4,6 +4,7 @@ throughout; only the repair of garbled text needs Python."""
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -66,6 +67,12 @@ SQ_FT, ACRE, HECTARE = 0.09290304, 4046.8564224, 10000.0
 # ---- normal forms ---------------------------------------------------------------------------
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+
 def _accented() -> tuple[str, str]:
     """Latin letters with marks, and their bare letters, by decomposition."""
     pairs = []
@@ -100,11 +107,14 @@ def normal_form(text: Column) -> Column:
 
 def shingles(text: Column, size: int = 5) -> Column:
     """Distinct word runs of a normal form; shorter texts are one run, empty ones none."""
-    words = F.filter(F.split(text, " "), lambda w: w != "")
-    n = F.size(words)
-    runs = F.transform(F.sequence(F.lit(1), n - (size - 1)), lambda i: F.array_join(F.slice(words, i, size), " "))
     none = F.array().cast("array<string>")
-    return F.when(text.isNull() | (n <= 0), none).when(n < size, F.array(F.array_join(words, " "))).otherwise(F.array_distinct(runs))
+
+    def runs(words: Column) -> Column:
+        n = F.size(words)
+        every = F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, size), " "))
+        return F.when(n <= 0, none).when(n < size, F.array(F.array_join(words, " "))).otherwise(F.array_distinct(every))
+
+    return F.when(text.isNull(), none).otherwise(let(F.filter(F.split(text, " "), lambda w: w != ""), runs))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -228,17 +238,21 @@ def display_title(title: Column, kind: Column, area: Column, place: Column) -> C
 
 def characteristics(cells: Column, most_label: int = 40) -> tuple[Column, Column]:
     """(map of labels to values, array of flags) of cell texts: ``label : value`` or a bare flag."""
-    tidy = F.transform(cells, lambda c: F.trim(F.regexp_replace(c, r"[\s ]+", " ")))
+    tidy = F.transform(cells, lambda c: F.trim(F.regexp_replace(c, r"[\s\u00a0]+", " ")))
     tidy = F.array_distinct(F.filter(tidy, lambda c: c != ""))
     at = lambda c: F.instr(c, ":")
     split = lambda c: (at(c) > 1) & (at(c) <= most_label + 1)
     label = lambda c: F.trim(F.substring_index(c, ":", 1))
     value = lambda c: F.trim(F.substr(c, at(c) + 1))
-    pairs = F.filter(tidy, lambda c: split(c) & (label(c) != "") & (value(c) != ""))
-    last = F.transform(pairs, lambda c: F.struct(label(c).alias("k"), value(c).alias("v")))
-    last = F.filter(last, lambda s, i: ~F.exists(F.slice(last, i + 2, F.size(last)), lambda o: o["k"] == s["k"]))
-    flags = F.filter(F.transform(tidy, lambda c: F.when(~split(c), c).when((value(c) == "") & (label(c) != ""), label(c))), lambda c: c.isNotNull())
-    return F.map_from_entries(last), flags
+
+    def pairs(all_: Column) -> Column:
+        found = F.filter(all_, lambda c: split(c) & (label(c) != "") & (value(c) != ""))
+        found = F.transform(found, lambda c: F.struct(label(c).alias("k"), value(c).alias("v")))
+        last = lambda f: F.filter(f, lambda s, i: ~F.exists(F.slice(f, i + 2, F.size(f)), lambda o: o["k"] == s["k"]))
+        return let(found, last)
+
+    bare = F.transform(tidy, lambda c: F.when(~split(c), c).when((value(c) == "") & (label(c) != ""), label(c)))
+    return F.map_from_entries(let(tidy, pairs)), F.filter(bare, lambda c: c.isNotNull())
 
 
 # ---- garbled text ---------------------------------------------------------------------------
