@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.operators.tables import shared_folder, written
+
+__all__ = ["shared_folder", "written"]
+
 #: A word: anything but ASCII white space. ``bytes.split()`` cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -16,38 +17,6 @@ SPACE = r"[\x20\x09-\x0D]+"
 ARROW_ROWS = 256
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder's path below ``spark.checkpoint.dir``, which driver and executors all see.
-
-    Only where that setting is missing (a local session, as in tests) a temporary folder is set.
-    """
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = context.getCheckpointDir()
-    if not root:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
-        context.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/marlstone-{uuid.uuid4().hex}"
-
-
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Makes ``DataFrame.checkpoint`` usable where no folder has been set."""
-    if not spark.sparkContext.getCheckpointDir():
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(root or shared_folder(spark))
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage ends there, and it is computed once."""
-    spark = df.sparkSession
-    path = shared_folder(spark)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Bounds the rows of Arrow batches in this session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
