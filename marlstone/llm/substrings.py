@@ -188,7 +188,7 @@ def repeated_starts(docs: DataFrame, cover: Cover = Cover()) -> DataFrame:
     blobs by part of the hash; equal ones meet first in the task they come from, and groups are only
     reduced to their smallest id, never paired, so a common passage costs its occurrences.
     """
-    parts = 2 * partitions(docs.sparkSession)
+    parts = partitions(docs.sparkSession)  # blobs: its square, or the entries if these are fewer
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealer = _Dealer(parts, ANCHOR_BYTES, False)
