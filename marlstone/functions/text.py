@@ -126,9 +126,16 @@ def shingles(text: Column, size: int = 5) -> Column:
     return F.when(text.isNull(), none).otherwise(let(F.filter(F.split(text, " "), lambda w: w != ""), runs))
 
 
-def hashed(runs: Column) -> Column:
-    """Shingles as 64-bit hashes, which compare faster than texts."""
-    return F.transform(runs, lambda r: F.xxhash64(r))
+def shingle_hashes(text: Column, size: int = 5) -> Column:
+    """The shingles of a normal form as distinct 64-bit hashes, which are made and compared faster."""
+    none = F.array().cast("array<bigint>")
+
+    def runs(words: Column) -> Column:
+        n = F.size(words)
+        every = F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, size)))
+        return F.when(n <= 0, none).otherwise(F.array_distinct(every))
+
+    return F.when(text.isNull(), none).otherwise(let(F.filter(F.split(text, " "), lambda w: w != ""), runs))
 
 
 def jaccard(a: Column, b: Column) -> Column:
