@@ -148,29 +148,29 @@ class _Index:
         return None
 
 
-def local_search(sizes: list[int], bins: list[list[int]], capacity: int, most_steps: int = 5_000) -> list[list[int]]:
+def local_search(sizes: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
     """Empties bins by steps that each raise the sum of squared fills.
 
     The emptiest underfull bin gives: it moves a document to a bin with room, or exchanges one for
     a smaller one, one for two smaller ones, or two for a smaller one, always towards a fuller bin
     and with the largest gain. A bin without such a step is left alone. It ends when the total
-    can't fill fewer bins, when a pass over all bins finds no step, or after ``most_steps`` steps.
+    can't fill fewer bins or a pass over all bins finds no step; the rising sum bounds the steps.
     """
     fill = [sum(sizes[i] for i in b) for b in bins]
     least, steps, before = -(-sum(fill) // capacity), 0, -1
-    while steps > before and sum(map(bool, bins)) > least and steps < most_steps:
+    while steps > before and sum(map(bool, bins)) > least:
         before, count = steps, sum(map(bool, bins))
         index = _Index(sizes, bins, fill, capacity)
         order = sorted((f, k) for k, f in enumerate(fill) if 0 < f < capacity)
         for _, k in order:
             index.add(k)
         heapq.heapify(order)
-        while order and count > least and steps < most_steps:
+        while order and count > least:
             known, giver = heapq.heappop(order)
             if giver not in index.added or fill[giver] != known:
                 continue  # it has changed since, or is done
             index.remove(giver)
-            while bins[giver] and steps < most_steps:
+            while bins[giver]:
                 step = _best_step(sizes, bins[giver], index)
                 if step is None:
                     break

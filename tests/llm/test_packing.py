@@ -37,6 +37,11 @@ def test_local_search_empties_bins():
     assert len(local_search([6, 4, 3, 3, 2, 2], [[0, 2], [1, 3, 4], [5]], 10)) == 2
 
 
+def test_local_search_goes_on_at_any_size():
+    # each of 6000 bins holds one document, and a step moves one: 5940 steps
+    assert len(local_search([1] * 6000, [[i] for i in range(6000)], 100)) == 60
+
+
 def test_round_trip(spark):
     r = random.Random(5)
     texts = [None, "", "x", "wörter " * 3000, "a b\n" * 513] + [" ".join(r.choices(["alpha", "beta", "Ωmega", "straße"], k=r.randint(1, 900))) for _ in range(120)]
