@@ -109,6 +109,18 @@ def test_buyers(spark):
         assert reasons["pool"] == (False, "pool — not mentioned in the listing")
 
 
+def test_buyers_meet_all_entities_at_every_size(spark):
+    columns = "buyer int, budget_min double, budget_max double, places array<string>, bedrooms_min int, area_min double, land_min double, kinds array<string>, must_have array<string>, nice_to_have array<string>"
+    who = spark.createDataFrame([(i, 1e6, 2e6, ["p"] if i % 3 else [], 4, 200.0, None, ["maison"], ["pool"], ["garden"]) for i in range(12)], columns)
+    what = spark.createDataFrame(
+        [(j, 1.5e6, ["p", "q", None][j % 3], 4, 200.0, None, "Maison", "jardin") for j in range(30)],
+        "entity int, price double, place string, bedrooms int, area double, land double, kind string, text string",
+    )
+    few, many = ([tuple(r) for r in buyers.matches(who, what, most).select("buyer", "entity", "score", "matched").orderBy("buyer", "entity").collect()] for most in (100, 0))
+    assert few == many and len(few) == 360
+    assert (1, 1, 75, True) in many and (1, 2, 75, True) in many  # place is no condition
+
+
 def test_verdicts(spark):
     one = lambda v: tuple(spark.range(1).select(v.alias("v")).select("v.*").first())[::2]
     days = lambda *n: F.array(*map(F.lit, n))
