@@ -148,11 +148,17 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def newest_until_known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Newest orders up to three known ones in a row."""
-    rows = table(spark, sf_dir, "orders").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc()).limit(500)
-    place = F.row_number().over(Window.orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc()))
-    found = rows.select("o_orderkey", place.alias("place"), (F.col("o_orderkey") % 3 == 0).alias("known"))
-    return windows.until_known(found, "place", "known", 3)
+    """Newest orders up to three known ones in a row, or all; read from a first stretch, and from twice
+    as many while it does not hold the stop."""
+    orders, newest = table(spark, sf_dir, "orders"), [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()]
+    total, n = orders.count(), 500
+    while True:
+        rows = orders.orderBy(*newest).limit(n)
+        found = rows.select("o_orderkey", F.row_number().over(Window.orderBy(*newest)).alias("place"), (F.col("o_orderkey") % 3 == 0).alias("known"))
+        read = windows.until_known(found, "place", "known", 3)
+        if n >= total or read.count() < n:
+            return read
+        n *= 2
 
 
 QUERIES = {

@@ -121,6 +121,29 @@ def test_buyers_meet_all_entities_at_every_size(spark):
     assert (1, 1, 75, True) in many and (1, 2, 75, True) in many  # place is no condition
 
 
+def test_reused_ids_equal_taking_in_turn(spark):
+    r = random.Random(8)
+    rows = [(r.choice(["p", "q", None]), r.choice([*range(14), None]), i, r.choice([*"abcdefghi", None])) for i in range(150)]
+    got = {(g.place, g.cluster): g.entity for g in resolution.reused_ids(spark.createDataFrame(rows, "place string, cluster int, id int, entity string")).collect()}
+    want, taken = {}, set()
+    members = {k: [x for x in rows if x[:2] == k] for k in {x[:2] for x in rows} if k[1] is not None}
+    for k in sorted(members, key=lambda k: (-len(members[k]), k[1])):
+        want[k] = next((x[3] for x in members[k] if x[3] and (k[0], x[3]) not in taken), None)
+        taken.add((k[0], want[k]))
+    assert got == want and None in want.values()
+
+
+def test_plans_read_whole_tables(spark, tmp_path):
+    from marlstone.plans import changes, entities
+
+    rows = spark.range(1, 1202).selectExpr(
+        "id AS o_orderkey", "CASE WHEN id > 400 THEN id + 1000000 ELSE id END AS o_custkey", "timestamp_seconds(id) AS o_orderdate", "CASE WHEN id > 400 THEN 'late' ELSE 'early' END AS o_orderpriority"
+    )
+    rows.write.parquet(str(tmp_path / "orders.parquet"))
+    assert {r.place for r in entities.stable_ids(spark, str(tmp_path)).collect()} == {"early", "late"}
+    assert changes.newest_until_known(spark, str(tmp_path)).count() == 1201
+
+
 def test_verdicts(spark):
     one = lambda v: tuple(spark.range(1).select(v.alias("v")).select("v.*").first())[::2]
     days = lambda *n: F.array(*map(F.lit, n))
