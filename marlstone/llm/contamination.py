@@ -78,7 +78,11 @@ def _items(benchmark: DataFrame, k: int) -> DataFrame:
 
 def _candidates(docs: DataFrame, items: DataFrame, unit: int, p: Leaks) -> DataFrame:
     """Distinct (doc_id, n, start, size, unit): windows of an item's size that one of its shingles
-    aligns with. A window without a shared shingle has similarity 0, so none is lost."""
+    aligns with, and all between two such that one window can reach.
+
+    A window before all alignments of the shingles it shares loses none of them by a step onward,
+    one behind them all loses none by a step back. So the best lies on or between alignments.
+    """
     own = items.where(F.col("unit") == unit)
     marks = _held(own, shingles("w", unit).alias("hashes")).select("n", F.posexplode("hashes").alias("at", "hash")).distinct()
     marks = written(marks)
@@ -87,15 +91,20 @@ def _candidates(docs: DataFrame, items: DataFrame, unit: int, p: Leaks) -> DataF
     seen = seen.select("doc_id", F.size("w").alias("length"), F.posexplode(shingles("w", unit)).alias("pos", "hash"))
     size = F.least("n", "length")
     start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("length") - size))
-    return seen.join(marks, "hash").select("doc_id", "n", start.alias("start"), size.alias("size"), F.lit(unit).alias("unit")).distinct()
+    aligned = seen.join(marks, "hash").select("doc_id", "n", start.alias("start"), size.alias("size"))
+    aligned = aligned.groupBy("doc_id", "n", "size").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+    after = lambda i: F.get("starts", i + 1)
+    reached = lambda a, i: after(i) - a <= 2 * (F.col("n") - unit)
+    every = F.transform("starts", lambda a, i: F.when(reached(a, i), F.sequence(a, after(i) - 1)).otherwise(F.array(a)))
+    return aligned.select("doc_id", "n", F.explode(F.flatten(every)).alias("start"), "size", F.lit(unit).alias("unit"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, p: Leaks = Leaks()) -> DataFrame:
     """One row per document and benchmark item that it holds: doc_id, item_id, start, n_words,
     shared, united, similarity, of the most similar window (the first of equals).
 
-    A window of as many words as the item, or the whole of a shorter document, that shares a
-    shingle gets a SimHash fingerprint; blocks of it meet the blocks of items of that size; pairs
+    A window of as many words as the item, or the whole of a shorter document, on or between the
+    places where shared shingles align gets a SimHash fingerprint; blocks of it meet the blocks of items of that size; pairs
     within the radius are held to ``shared / united`` of the weighted shingles (a shingle counts as
     often as it occurs), which must reach the threshold. Items under five words count as one
     shingle. Null or blank texts and items hold nothing; rows without an id can't be named and are

@@ -68,6 +68,24 @@ def test_leaks_equal_brute_force(spark):
     assert keep_clean(d, b.limit(0)).count() == len(docs)
 
 
+def test_best_window_between_alignments(spark):
+    items, docs = [], []
+    for i, (n, ends, put) in enumerate([(104, 3, 6), (58, 1, 2)] * 6):
+        v = [f"w{i}x{j}" for j in range(n)]
+        w = [f"e{i}x{j}" if j < ends or j >= n - ends else x for j, x in enumerate(v)]
+        w[n // 2 : n // 2] = [f"p{i}x{j}" for j in range(put)]
+        items.append((i, " ".join(v)))
+        docs.append((i, " ".join([f"a{i}x{j}" for j in range(20)] + w + [f"b{i}x{j}" for j in range(20)])))
+    half = [f"s{j}" for j in range(100)]  # halves that change places: the window lies on no alignment
+    items.append((50, " ".join(half)))
+    docs.append((50, " ".join(half[50:] + half[:50])))
+    docs.append((51, " ".join([f"t{j}" for j in range(9)] + half[50:] + half[:50] + [f"u{j}" for j in range(200)])))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in find_leaks(d, b).collect()}
+    want = {k: round(v, 9) for k, v in brute(docs, items).items()}
+    assert len(want) == 14 and got == want
+
+
 def test_blocks_lose_no_fingerprint_within_the_radius(spark):
     r, radius = random.Random(2), 18
     rows = []
