@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,13 +16,17 @@ __all__ = ["shared_folder", "written"]
 #: A word: anything but ASCII white space. ``bytes.split()`` cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
-#: Rows of an Arrow batch that goes to Python, so that very long texts stay within a worker's memory.
-ARROW_ROWS = 256
+#: Rows, and bytes on average, of the slices in which Python works through an Arrow batch.
+SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bounds the rows of Arrow batches in this session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of bounded rows and bytes, so that a worker's memory doesn't follow the
+    session's batch size, which stays as it is. One very long row is a slice of its own."""
+    for batch in batches:
+        step = max(1, min(rows, batch.num_rows * most // max(batch.nbytes, 1)))
+        for start in range(0, max(batch.num_rows, 1), step):
+            yield batch.slice(start, step)
 
 
 def partitions(spark: SparkSession) -> int:

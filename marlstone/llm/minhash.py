@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import mixed, only, small_batches, window_hashes, word_hashes, written
+from marlstone.llm.common import mixed, only, sliced, window_hashes, word_hashes, written
 from marlstone.operators.components import connected_components
 
 _BASE = 0x9E3779B97F4A7C15
@@ -68,12 +68,11 @@ def circulant_signature(shingles: np.ndarray, size: int, block: int = 1024) -> n
 
 def sketches(docs: DataFrame, p: NearDuplicates) -> DataFrame:
     """Per row: doc_id, n_shingles, a digest of the whole set, and the bands' hashes."""
-    small_batches(docs.sparkSession)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
+        for batch in sliced(batches):
             counts, digests, bands = [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), p.words, p.fold_case)
@@ -102,7 +101,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, p: NearDuplicates) -> DataFram
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, mine = None, None  # rows come sorted by a: its set serves all its partners
-        for batch in batches:
+        for batch in sliced(batches):
             shared, united = [], []
             for a, ta, tb in zip(batch.column(0), batch.column(2), batch.column(3), strict=True):
                 if (a := a.as_py()) != last:
@@ -141,7 +140,7 @@ def _own_share(docs: DataFrame, texts: DataFrame, p: NearDuplicates) -> DataFram
     chosen = only(texts.join(docs.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "doc_id", "text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = shingle_set(text.as_py(), p.words, p.fold_case).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), doc)), pa.array(s)], ["doc", "shingle"])
@@ -251,7 +250,8 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> Da
     Documents with equal shingle sets form a class by a grouped minimum; only the smallest id of a
     class is banded, so groups of copies cost a row each. ``component_id`` is the smallest id that
     links reach. Null, empty and blank texts have no shingles and link with nothing. A null id is a
-    component of its own (null, kept); rows that repeat an id share its component. An empty table
+    component of its own (null, kept); rows that repeat an id share its component; very long texts give
+    all their shingles. An empty table
     gives no rows; other columns are ignored.
     """
     docs = only(docs, "doc_id", "text")
