@@ -140,9 +140,11 @@ def shard(docs: DataFrame, parts: int = 24) -> DataFrame:
     The law is ``bytes``. Equal texts are one group and stay together; groups stand in the order of
     a hash of their text, and the largest shard is as small as cuts in that order allow (a group over
     a part of the whole fills a shard by itself). Slots run gapless from 0 in each shard, by parts
-    that a hash of the id deals out, so one hot text is numbered by many tasks. A null text counts
-    as empty (size 8); repeated rows, and null ids, are rows like others; an empty table gives no
-    rows; other columns are ignored. The driver sees key ranges, shards and counts, never groups.
+    that a hash of the id deals out, so one hot text is numbered by many tasks; rows that share an id
+    are told apart by their place in the written table, so a task that runs again gives the same
+    slots. A null text counts as empty (size 8); very long texts are measured whole; repeated rows,
+    and null ids, are rows like others; an empty table gives no rows; other columns are ignored. The
+    driver sees key ranges, shards and counts, never groups.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.shiftrightunsigned(F.xxhash64(text), 64 - KEY_BITS)
@@ -156,12 +158,13 @@ def shard(docs: DataFrame, parts: int = 24) -> DataFrame:
     groups = written(rows.groupBy("key").agg(F.sum("size").alias("weight")))
     firsts, capacity = cuts(groups, parts)
     number = F.size(F.filter(F.array(*map(F.lit, firsts)), lambda x: x <= F.col("key"))) if firsts else F.lit(0)
-    part = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(SLOT_PARTS)).cast("int")
-    dealt = written(rows.select("doc_id", "size", "text_crc32", number.cast("int").alias("shard"), part.alias("part")))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    part = F.pmod(F.xxhash64("doc_id", "row"), F.lit(SLOT_PARTS)).cast("int")
+    dealt = written(rows.select("doc_id", "row", "size", "text_crc32", number.cast("int").alias("shard"), part.alias("part")))
     counts = dealt.groupBy("shard", "part").count()  # parts * SLOT_PARTS rows at most
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     table = counts.select("shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    in_part = Window.partitionBy("shard", "part").orderBy("doc_id")
+    in_part = Window.partitionBy("shard", "part").orderBy("doc_id", "row")
     numbered = dealt.withColumn("place", F.row_number().over(in_part)).join(F.broadcast(table), ["shard", "part"])
     return numbered.select(
         "doc_id",
@@ -169,7 +172,7 @@ def shard(docs: DataFrame, parts: int = 24) -> DataFrame:
         "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
-        (F.col("first") + F.col("place") - 1).cast("int").alias("slot"),
+        (F.col("first") + F.col("place") - 1).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         F.lit(capacity).cast("long").alias("capacity"),
     )

@@ -58,3 +58,10 @@ def test_rows(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and 0 <= min(slots) and max(slots) <= 23
     assert max(loads.values()) <= got[0].capacity
     assert shard(df.limit(0)).count() == 0
+
+
+def test_long_texts_and_repeated_ids(spark):
+    df = spark.createDataFrame([(1, "é" * 2_000_000), (1, "a"), (1, "b"), (None, None), (None, None), (2, "a")], "doc_id long, text string")
+    got = shard(df, 3).collect()
+    assert sorted(g.size for g in got) == [8, 8, 9, 9, 9, 4_000_008] and {g.capacity for g in got} == {4_000_008}
+    assert len({(g.shard, g.slot) for g in got}) == 6 and dict(shard(df, 3).dtypes)["slot"] == "bigint"
