@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import only, shared_folder, small_batches
+from marlstone.llm.common import only, partitions, shared_folder, sliced, written
 
 #: Members of a package (fixed values).
 DATA, INDEX, ABOUT = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
@@ -26,6 +26,11 @@ PACKAGE_BYTES = 48 << 20
 READ_BYTES = 4 << 20
 #: Payloads under so many bytes are stored each time.
 LEAST_REVISIT = 100
+#: Repeated digests (about 100 bytes each) up to which their table is broadcast; more meet the pages
+#: by a shuffle, in which each digest is dealt to so many tasks.
+BROADCAST_DIGESTS, SALTS = 200_000, 32
+#: Package bytes that a task reads back, on average.
+TASK_BYTES = 256 << 20
 _NO16, _NO32 = 0xFFFF, 0xFFFFFFFF
 
 
@@ -215,15 +220,21 @@ def open_package(uri: str):
 # ---- operators ------------------------------------------------------------------------------
 
 
-def with_first(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
+def with_first(pages: DataFrame, least: int = LEAST_REVISIT, most_broadcast: int = BROADCAST_DIGESTS) -> DataFrame:
     """(page_id, url, payload, payload_bytes, payload_digest, refers_to): of equal payloads of
-    ``least`` bytes or more, all but the smallest page_id refer to it."""
+    ``least`` bytes or more, all but the smallest page_id refer to it. Only digests that repeat are
+    gathered; all copies of one are never sent to one task with their payloads."""
     rows = only(pages, "page_id", "url", "html").select(
         F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")
     )
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
     groups = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    joined = rows.join(groups.where("n > 1").drop("n"), "payload_digest", "left")
+    groups = written(groups.where("n > 1").drop("n"))
+    if groups.count() <= most_broadcast:  # the pages stay where they are
+        joined = rows.join(F.broadcast(groups), "payload_digest", "left")
+    else:
+        salted = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["payload_digest", "salt"], "left")
     later = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(later, F.col("first")).alias("refers_to"))
 
@@ -233,7 +244,6 @@ def write_packages(pages: DataFrame, folder: str | None = None) -> DataFrame:
     and gives (archive, records, bytes) of the packages that count: a task that was repeated leaves
     packages that no row names."""
     spark = pages.sparkSession
-    small_batches(spark)
     folder = folder or shared_folder(spark)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +267,7 @@ def write_packages(pages: DataFrame, folder: str | None = None) -> DataFrame:
                 )
             held, keys, size = [], [], 0
 
-        for batch in batches:
+        for batch in sliced(batches):
             for page, url, payload, n, digest, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = Record(page, url, payload, n, digest, refers).raw()
                 held.append(raw)
@@ -278,7 +288,8 @@ _READ = "page_id long, url string, payload binary, payload_bytes long, payload_d
 def read_packages(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """One row per record of the packages in column ``archive``, checked against its digest.
 
-    A revisit has a null payload; ``payloads=False`` leaves all of them out of the result. A damaged
+    Packages are dealt by ranges of their names to as many tasks as there are shuffle partitions, or
+    more where their column ``bytes`` says so. A revisit has a null payload; ``payloads=False`` leaves all of them out of the result. A damaged
     package or a wrong digest is an error. No packages give no rows; other columns are ignored.
     """
 
@@ -296,8 +307,12 @@ def read_packages(archives: DataFrame, payloads: bool = True) -> DataFrame:
                     if rows:
                         yield _batch(rows)
 
-    small_batches(archives.sparkSession)
-    return archives.select("archive").where("archive IS NOT NULL").repartition("archive").mapInArrow(read, _READ)
+    listed = archives.where("archive IS NOT NULL")
+    size = F.sum("bytes") if "bytes" in archives.columns else F.lit(None).cast("long")
+    found = listed.agg(F.count("*").alias("n"), size.alias("bytes")).first()
+    tasks = max(1, min(found.n, max(partitions(archives.sparkSession), (found.bytes or found.n * PACKAGE_BYTES) // TASK_BYTES)))
+    # rows of a list are tiny, so the number of tasks is stated: adaptive execution would join them to one
+    return listed.select("archive").repartitionByRange(tasks, "archive").mapInArrow(read, _READ)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -309,7 +324,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """All pages written as packages and read back: one row per page, without the payloads.
 
-    Null html counts as empty, a null url too; of repeated rows with one id all are kept, and all
+    Null html counts as empty, a null url too; very long html is a record like others (a package is
+    closed behind it); of repeated rows with one id all are kept, and all
     are responses or revisits alike; null ids are never referred to; an empty table gives no rows;
     other columns are ignored.
     """

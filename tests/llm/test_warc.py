@@ -4,6 +4,7 @@ import random
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.llm import warc
 from marlstone.llm.warc import Package, Record, archive_pages, package, packed, read_packages, read_records, write_packages
@@ -80,3 +81,23 @@ def test_pages(spark, monkeypatch):
     full = {g.page_id: g.payload for g in read_packages(write_packages(df)).collect()}
     assert bytes(full[10]) == pages[10].encode() and full[5] is None
     assert archive_pages(df.limit(0)).count() == 0
+
+
+def test_repeated_ids_long_payloads_and_shuffled_digests(spark, monkeypatch):
+    rows = [(1, "a", "p" * 150), (1, "b", "p" * 150), (2, "c", "p" * 150), (3, "d", "é" * 3_000_000), (None, "e", "p" * 150), (None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((g.page_id or 0, g.payload_bytes, g.record_type, g.refers_to) for g in archive_pages(df).collect())
+    assert got == [(0, 0, "response", None), (0, 150, "revisit", 1), (1, 150, "response", None), (1, 150, "response", None), (2, 150, "revisit", 1), (3, 6_000_000, "response", None)]
+    monkeypatch.setattr(warc.with_first, "__defaults__", (100, 0))  # as for too many repeated digests to broadcast
+    assert sorted((g.page_id or 0, g.payload_bytes, g.record_type, g.refers_to) for g in archive_pages(df).collect()) == got
+
+
+def test_many_tasks_read_many_packages(spark, monkeypatch):
+    monkeypatch.setattr(warc, "PACKAGE_BYTES", 5000)
+    df = spark.createDataFrame([(i, "u", f"<p>{i}</p>" * 100) for i in range(200)], "page_id long, url string, html string").repartition(3)
+    archives = write_packages(df)
+    n = archives.count()
+    per = read_packages(archives, payloads=False).groupBy(F.spark_partition_id().alias("t")).agg(F.countDistinct("archive").alias("n")).collect()
+    assert n > 20 and len(per) >= 6 and max(r.n for r in per) <= n / 3
+    monkeypatch.setattr(warc, "TASK_BYTES", 6000)  # more tasks than shuffle partitions where the packages are large
+    assert read_packages(archives, payloads=False).rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
