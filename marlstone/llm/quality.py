@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm.common import covered, only, small_batches, window_hashes
+from marlstone.llm.common import covered, only, sliced, window_hashes
 
 SYMBOLS = b"#*$%&|<>"
 SYMBOL_CHARS = tuple(bytes([c]) for c in SYMBOLS)
@@ -21,8 +21,9 @@ class Bands:
     """Limits of zstandard ratios (compressed by raw bytes), inclusive, by length in bytes.
 
     ``whole``: (least length, least ratio, greatest ratio); the last row whose length is reached
-    holds, and shorter texts than the first row's pass. ``chunk``: the limits of each full chunk of
-    ``chunk_bytes``; a document fails if over ``chunk_share`` of its chunks lie outside.
+    holds, and shorter texts than the first row's pass. ``chunk``: the limits of a full chunk of
+    ``chunk_bytes``; what is left at the text's end is a chunk too, with the ``whole`` limits of its
+    length. A document fails if over ``chunk_share`` of its chunks lie outside.
     """
 
     whole: tuple[tuple[int, float, float], ...] = (
@@ -37,21 +38,25 @@ class Bands:
     chunk_share: float = 0.5
     level: int = 3
 
+    def limits(self, length: int) -> tuple[float, float]:
+        """The ``whole`` limits of a length."""
+        return next(((a, b) for least, a, b in reversed(self.whole) if length >= least), (0.0, float("inf")))
+
     def verdict(self, raw: bytes, packer) -> tuple[float | None, float, bool]:
         """The whole ratio (None: empty), the share of chunks outside, and whether the text passes."""
         if not raw:
             return None, 0.0, True
-        ratio = len(packer.compress(raw)) / len(raw)
-        size = self.chunk_bytes
-        outside = [
-            not self.chunk[0] <= len(packer.compress(raw[i : i + size])) / size <= self.chunk[1]
-            for i in range(0, len(raw) - size + 1, size)
-        ]
-        share = sum(outside) / len(outside) if outside else 0.0
-        low, high = 0.0, float("inf")
-        for least, a, b in self.whole:
-            if len(raw) >= least:
-                low, high = a, b
+        ratio, size = len(packer.compress(raw)) / len(raw), self.chunk_bytes
+        low, high = self.limits(len(raw))
+        if len(raw) < size:  # its one chunk is the text
+            passes = low <= ratio <= high
+            return ratio, float(not passes), passes
+        outside = 0
+        for i in range(0, len(raw), size):
+            part = raw[i : i + size]
+            least, most = self.chunk if len(part) == size else self.limits(len(part))
+            outside += not least <= len(packer.compress(part)) / len(part) <= most
+        share = outside / -(-len(raw) // size)
         return ratio, share, low <= ratio <= high and share <= self.chunk_share
 
 
@@ -107,13 +112,12 @@ def quality_rules(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     short texts fail the base rule and have no ratio or pass the bands. Repeated rows and null ids
     are judged each for itself; an empty table gives no rows; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         packer = zstandard.ZstdCompressor(level=bands.level)
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [measure(t.as_py(), bands, packer) for t in batch.column(1)]
             columns = list(zip(*rows, strict=True)) or [()] * len(_FIGURES)
             yield pa.RecordBatch.from_arrays(
@@ -126,14 +130,13 @@ def quality_rules(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
 
 def keep_good(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     """The documents that pass the rules, with all their columns. Cases as in ``quality_rules``."""
-    small_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         packer = zstandard.ZstdCompressor(level=bands.level)
-        for batch in batches:
+        for batch in sliced(batches):
             keep = [measure(t.as_py(), bands, packer)[6] for t in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

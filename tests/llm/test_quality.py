@@ -46,3 +46,25 @@ def test_filter_keeps_columns(spark):
 @pytest.mark.parametrize("copies", [2, 5])
 def test_repeated_rows_are_judged_each(spark, copies):
     assert quality_rules(table(spark, [PROSE] * copies)).filter("kept").count() == copies
+
+
+def test_the_last_piece_is_judged_too():
+    import random
+
+    import zstandard
+
+    from marlstone.llm.quality import Bands
+
+    r, packer, bands = random.Random(3), zstandard.ZstdCompressor(level=3), Bands()
+    prose = " ".join("".join(r.choices("etaoinshrdlucmfw", k=r.randint(2, 9))) for _ in range(3000)).encode()
+    noise = r.randbytes(6000)
+    assert bands.verdict(prose[:4096], packer)[1:] == (0.0, True)
+    assert bands.verdict(prose[:4096] + noise[:4095], packer)[1] == 0.5  # the tail alone lies outside
+    assert bands.verdict(prose[:4096] + noise[:100], packer)[1] == 0.0  # too short for limits
+    assert bands.verdict(noise[:3000], packer)[1:] == (1.0, False)
+    assert [bands.limits(n) for n in (127, 128, 16384, 10**9)] == [(0.0, float("inf")), (0.40, 1.10), (0.25, 0.75), (0.20, 0.75)]
+
+
+def test_null_ids_and_repeated_ids(spark):
+    df = spark.createDataFrame([(None, PROSE), (None, None), (1, PROSE), (1, "short")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.kept) for r in quality_rules(df).collect()) == [(0, False), (0, True), (1, False), (1, True)]
