@@ -16,58 +16,77 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import only, small_batches, written
+from marlstone.llm.common import only, sliced, written
 
 #: Pieces that one task packs at a time, on average.
 GROUP = 20_000
-#: Of a bin with very many documents, so many of the smallest take part in two-for-one exchanges.
-PAIR_DOCS = 24
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Characters on which both tokenizer libraries' Unicode tables agree.
+#: The runs into which the byte-level splitter cuts a text (fixed values), over the characters up to
+#: U+024F, where what is a letter, a number or a blank is settled.
+_LETTER = "".join(chr(c) for c in range(0x250) if chr(c).isalpha())
+_NUMBER = "0-9²³¹¼½¾"
+_BLANK = "\\x09-\\x0d\\x20\x85\xa0"
+_RUNS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|\x20?[{_LETTER}]+|\x20?[{_NUMBER}]+|\x20?[^{_BLANK}{_LETTER}{_NUMBER}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
 _SETTLED = re.compile("[^\x00-ɏ]")
+#: Runs whose ids a worker remembers; then it starts anew.
+KNOWN_RUNS = 400_000
+
+
+class _Runs(dict):
+    """The ids of each run, as little-endian 32-bit bytes; a new one is asked for."""
+
+    def __init__(self, ids_of) -> None:
+        super().__init__()
+        self.ids_of = ids_of
+
+    def __missing__(self, run: str) -> bytes:
+        if len(self) > KNOWN_RUNS:
+            self.clear()
+        self[run] = found = self.ids_of(run).tobytes()
+        return found
 
 
 @lru_cache(maxsize=2)
 def encoder(tokenizer: str):
-    """text -> ids as by ``tokenizers`` without special tokens added.
+    """text -> array of ids by ``tokenizers``, without special tokens added.
 
-    ``tiktoken`` gives the same ids from the same vocabulary several times faster; it is used where
-    the text has settled characters only and no special token's string.
+    Merges never cross the runs that the splitter cuts, so each run's ids are asked for once and
+    remembered. Texts with characters beyond U+024F or with a special token's string go to the
+    tokenizer whole; so does every text of a vocabulary that isn't a plain byte-level one.
     """
-    import base64
+    import json
     from pathlib import Path
 
-    import tiktoken
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(tokenizer)
-    special = [t.content for t in slow.get_added_tokens_decoder().values()]
-    ranks_file, fast = Path(tokenizer).with_suffix(".tiktoken"), None
-    if ranks_file.exists():
-        import public_tokenizers
+    tool = Tokenizer.from_file(tokenizer)
+    special = [t.content for t in tool.get_added_tokens_decoder().values()]
+    about = json.loads(Path(tokenizer).read_text(encoding="utf-8"))
+    splitter = about.get("pre_tokenizer") or {}
+    plain = about.get("normalizer") is None and splitter.get("type") == "ByteLevel" and not splitter.get("add_prefix_space") and splitter.get("use_regex", True)
+
+    def whole(text: str) -> np.ndarray:
+        return np.array(tool.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-        lines = (line.split() for line in ranks_file.read_bytes().splitlines())
-        ranks = {base64.b64decode(a): int(b) for a, b in lines}
-        fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    known = _Runs(whole)
 
-    def encode(text: str) -> list[int]:
-        if fast is not None and not _SETTLED.search(text) and not any(s in text for s in special):
-            return fast.encode_ordinary(text)
-        return slow.encode(text, add_special_tokens=False).ids
+    def encode(text: str) -> np.ndarray:
+        if not plain or _SETTLED.search(text) or any(s in text for s in special):
+            return whole(text)
+        return np.frombuffer(b"".join(map(known.__getitem__, _RUNS.findall(text))), dtype="<u4")
 
     return encode
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32. Null texts count as empty."""
-    small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for batch in batches:
+        for batch in sliced(batches):
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array([*encode(text.as_py() or ""), end_id], dtype="<u4")
+                ids = np.append(encode(text.as_py() or ""), np.array([end_id], dtype="<u4"))
                 first = (len(ids) - 1) % capacity + 1
                 starts = [0, *range(first, len(ids), capacity)]
                 for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
@@ -112,13 +131,11 @@ class _Index:
         self.added: dict[int, tuple[int, list[tuple]]] = {}
 
     def add(self, k: int) -> None:
-        room, few = self.capacity - self.fill[k], sorted(self.bins[k], key=self.sizes.__getitem__)[:PAIR_DOCS]
-        found = {(0, 0): ()}
+        room, found = self.capacity - self.fill[k], {(0, 0): ()}
         for i in self.bins[k]:
             found.setdefault((1, self.sizes[i]), (i,))
-        for x in range(len(few)):
-            for y in range(x):
-                found.setdefault((2, self.sizes[few[x]] + self.sizes[few[y]]), (few[x], few[y]))
+        for total, two in _pairs(self.sizes, self.bins[k]).items():
+            found[2, total] = two
         for key, docs in found.items():
             self.holders.setdefault(key, {})[room, k] = docs
             self.rooms.setdefault(key, Counter())[room] += 1
@@ -148,6 +165,22 @@ class _Index:
         return None
 
 
+def _pairs(sizes: list[int], members: list[int]) -> dict[int, tuple[int, int]]:
+    """Two members for each sum of two sizes. Sizes that differ add up to the fill at least, so they
+    are few: at most 44 in a bin of 1024, however many documents it holds."""
+    of_size: dict[int, list[int]] = {}
+    for i in members:
+        of_size.setdefault(sizes[i], []).append(i)
+    found: dict[int, tuple[int, int]] = {}
+    listed = sorted(of_size)
+    for x, a in enumerate(listed):
+        if len(of_size[a]) > 1:
+            found.setdefault(2 * a, (of_size[a][0], of_size[a][1]))
+        for b in listed[:x]:
+            found.setdefault(a + b, (of_size[a][0], of_size[b][0]))
+    return found
+
+
 def local_search(sizes: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
     """Empties bins by steps that each raise the sum of squared fills.
 
@@ -202,14 +235,9 @@ def _best_step(sizes: list[int], mine: list[int], index: _Index) -> tuple[int, t
         if sizes[i] not in tried and (found := index.find(sizes[i], (1, 2))) and (best is None or found[0] > best[0]):
             best = (found[0], (i,), found[1], found[2])
         tried.add(sizes[i])
-    few = mine[-PAIR_DOCS:]
-    tried.clear()
-    for x in range(len(few)):
-        for y in range(x):
-            total = sizes[few[x]] + sizes[few[y]]
-            if total not in tried and (found := index.find(total, (1,))) and (best is None or found[0] > best[0]):
-                best = (found[0], (few[x], few[y]), found[1], found[2])
-            tried.add(total)
+    for total, two in _pairs(sizes, mine).items():
+        if (found := index.find(total, (1,))) and (best is None or found[0] > best[0]):
+            best = (found[0], two, found[1], found[2])
     return best
 
 
@@ -243,7 +271,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
 
     Pieces are dealt at random to groups of about ``group``; each is packed by itself, so memory is
     bounded and a group wastes a part of one sequence. Null and empty texts are one piece of the end
-    id; repeated rows are packed each; a null doc_id stays null; an empty table gives no rows; other
+    id; very long texts are as many pieces as they fill; repeated rows are packed each; a null doc_id stays null; an empty table gives no rows; other
     columns are ignored. A document is cut only where it is longer than ``capacity``.
     """
     table = written(pieces(docs, tokenizer, capacity, end_id))

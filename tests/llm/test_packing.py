@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 from tokenizers import Tokenizer
 
-from marlstone.llm.packing import best_fit, default_tokenizer, encoder, local_search, pack
+from marlstone.llm.packing import _pairs, best_fit, default_tokenizer, encoder, local_search, pack
 
 
 def squares(sizes, bins):
@@ -20,6 +20,21 @@ def test_encoder_equals_tokenizers():
         assert list(encode(t)) == slow.encode(t, add_special_tokens=False).ids
 
 
+def test_runs_are_the_splitters_for_every_settled_character():
+    tool = Tokenizer.from_file(default_tokenizer())
+    encode = encoder(default_tokenizer())
+    for c in map(chr, range(0x250)):
+        for t in (c, f"a{c}1 {c} x", f" {c}{c}b{c}'s", f"1{c}\n{c}  .", f"{c} {c}   é", f"'{c}re{c}'ll"):
+            assert list(encode(t)) == tool.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_bins_of_many_small_documents_give_all_pairs():
+    sizes = [1] * 200 + [2, 3, 5, 400, 401]
+    found = _pairs(sizes, list(range(205)))
+    want = {sizes[a] + sizes[b] for a in range(205) for b in range(a)}
+    assert set(found) == want and all(a != b and sizes[a] + sizes[b] == t for t, (a, b) in found.items())
+
+
 def test_local_search_empties_bins():
     r = random.Random(4)
     gained = 0
