@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import joined_spans, only, small_batches
+from marlstone.llm.common import joined_spans, only, sliced
 
 KINDS = ("email", "ip", "card", "phone")
 #: The field's labels; spans of the last two are added to the patterns'.
@@ -164,19 +164,23 @@ _CUES = frozenset(
 _EDGE = ".,;:!?\"')]}»"
 
 
+_DIGITS = re.compile("d{5,}")
+
+
 def shape(word: str) -> str:
-    """Letter case, digits and marks of a word, with runs of letters cut to one sign."""
+    """Letter case, digits and marks of a word; a run of letters is one sign, and so is one of over
+    four digits."""
     if word.isalpha():
         if word.islower():
             return "x"
         if word.istitle():
             return "Xx" if len(word) > 1 else "X"
     out = []
-    for c in word[:40]:
+    for c in word:
         s = "X" if c.isupper() else "x" if c.isalpha() else "d" if c.isdigit() else c
         if s not in "Xx" or not out or out[-1] != s:
             out.append(s)
-    return "".join(out)
+    return _DIGITS.sub("d+", "".join(out))
 
 
 def features(word: str) -> tuple[str, ...]:
@@ -186,7 +190,7 @@ def features(word: str) -> tuple[str, ...]:
     digits = 0 if bare.isalpha() else sum(map(str.isdigit, bare))
     low = word.lower().rstrip(",;!?")
     return (
-        f"s={s[:14]}",
+        f"s={s}",
         f"n={min(digits, 12) if digits else 0}",
         f"h={'-' in bare and digits > 0}",
         f"e={word[-1] in '.!?' and len(bare) > 3}",
@@ -278,8 +282,9 @@ def trained() -> Field:
     return Field()
 
 
-#: A chain ends with a line, a sentence, or after so many words; features look across chains' ends.
-CHAIN = 64
+#: A chain is a sentence or a line; features look across chains' ends. Longer chains are decoded by
+#: pieces of so many words for each label they may start with, which are then put together.
+PIECE = 64
 _STOPS = (46, 33, 63)  # . ! ?
 
 
@@ -305,11 +310,12 @@ class Decoder:
         self.known[word] = k
         return k
 
-    def labels(self, texts: list[list[bytes]], line_ends: list[np.ndarray]) -> list[np.ndarray]:
-        """A label per word of each text. ``line_ends``: indices of words that end a line."""
+    def labels(self, texts: list[list[bytes]], line_ends: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per text, a label for each word, and whether it ends a chain. ``line_ends``: indices of
+        words that end a line."""
         words = [w for t in texts for w in t]
         if not words:
-            return [np.zeros(0, dtype=np.int8) for _ in texts]
+            return [(np.zeros(0, dtype=np.int8), np.zeros(0, dtype=bool)) for _ in texts]
         if len(self.known) > self.most:
             self._clear()
         known = self.known
@@ -329,56 +335,100 @@ class Decoder:
             ends[o + e] = True
         ends[(offsets + sizes - 1)[full]] = True
         out = self._viterbi(score, np.flatnonzero(ends) + 1)
-        return [out[o : o + s] for o, s in zip(offsets, sizes, strict=True)]
+        return [(out[o : o + s], ends[o : o + s]) for o, s in zip(offsets, sizes, strict=True)]
 
     def _viterbi(self, score: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """The best labels of all chains; each is decoded whole, whatever its length."""
         starts = np.concatenate([[0], stops[:-1]])
         lengths = stops - starts
-        cuts = -(-lengths // CHAIN)
-        starts = np.repeat(starts, cuts) + CHAIN * (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts))
-        lengths = np.minimum(CHAIN, np.repeat(stops, cuts) - starts)
-        order = np.argsort(-lengths, kind="stable")
-        starts, lengths = starts[order], lengths[order]
-        live = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
-        steps, back = self.field.steps, np.zeros(score.shape, dtype=np.int8)
-        best = score[starts]
+        out = np.zeros(len(score), dtype=np.int8)
+        short = lengths <= PIECE
+        if short.any():
+            order = np.argsort(-lengths[short], kind="stable")
+            at, n = starts[short][order], lengths[short][order]
+            best, back = self._forward(score, at, n, score[at])
+            self._backward(back, at, n, best.argmax(axis=1), out, np.arange(len(at)))
+        if not short.all():
+            self._long(score, starts[~short], stops[~short], out)
+        return out
+
+    def _forward(self, score: np.ndarray, starts: np.ndarray, lengths: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(score of the best path to each last label, labels before: [step, chain, label]) from the
+        scores ``best`` of the first labels. The longest chains come first."""
+        steps, best = self.field.steps, best.copy()
+        live = self._live(lengths)
+        back = np.zeros((len(live), len(starts), len(LABELS)), dtype=np.int8)
         for t in range(1, len(live)):
             n = live[t]
             paths = best[:n, :, None] + steps
             chosen = paths.argmax(axis=1)
-            back[starts[:n] + t] = chosen
-            best[:n] = np.take_along_axis(paths, chosen[:, None, :], axis=1)[:, 0] + score[starts[:n] + t]
-        out = np.zeros(len(score), dtype=np.int8)
-        last = best.argmax(axis=1)
+            back[t, :n] = chosen
+            best[:n] = paths.max(axis=1) + score[starts[:n] + t]
+        return best, back
+
+    @staticmethod
+    def _live(lengths: np.ndarray) -> np.ndarray:
+        """How many chains are longer than each step's number."""
+        return np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
+
+    def _backward(self, back: np.ndarray, starts: np.ndarray, lengths: np.ndarray, last: np.ndarray, out: np.ndarray, rows: np.ndarray) -> None:
+        """Writes the paths that end with the labels ``last``; chain k's steps back are in rows[k]."""
+        here, live = last.astype(np.int8), self._live(lengths)
         for t in range(len(live) - 1, -1, -1):
             n = live[t]
-            here = last[:n]
-            out[starts[:n] + t] = here
+            out[starts[:n] + t] = here[:n]
             if t:
-                last[:n] = back[starts[:n] + t, here]
-        return out
+                here[:n] = back[t, rows[:n], here[:n]]
+
+    def _long(self, score: np.ndarray, chain_starts: np.ndarray, chain_stops: np.ndarray, out: np.ndarray) -> None:
+        """Long chains: all their pieces are decoded side by side for each first label, and the best
+        labels at pieces' ends follow from piece to piece, as all that one passes on is its last label."""
+        k, steps = len(LABELS), self.field.steps
+        cuts = -(-(chain_stops - chain_starts) // PIECE)
+        firsts = np.cumsum(cuts) - cuts
+        starts = np.repeat(chain_starts, cuts) + PIECE * (np.arange(cuts.sum()) - np.repeat(firsts, cuts))
+        lengths = np.minimum(PIECE, np.repeat(chain_stops, cuts) - starts)
+        order = np.argsort(-lengths, kind="stable")
+        first = np.where(np.eye(k, dtype=bool)[None], score[starts[order]][:, None, :], -np.inf).reshape(-1, k)
+        found, back = self._forward(score, np.repeat(starts[order], k), np.repeat(lengths[order], k), first)
+        place = np.argsort(order)  # of a piece among the decoded ones
+        through = found.reshape(len(starts), k, k)[place]  # [piece, first label, last label]
+        ends, rows = np.zeros(len(starts), dtype=np.int64), np.zeros(len(starts), dtype=np.int64)
+        for a, n in zip(firsts.tolist(), cuts.tolist(), strict=True):
+            best, came, before = through[a].max(axis=0), [through[a].argmax(axis=0)], []
+            for p in through[a + 1 : a + n]:
+                enter = best[:, None] + steps  # [last label before, first label]
+                before.append(enter.argmax(axis=0))
+                paths = enter.max(axis=0)[:, None] + p
+                came.append(paths.argmax(axis=0))
+                best = paths.max(axis=0)
+            last = int(best.argmax())
+            for j in range(n - 1, -1, -1):
+                ends[a + j] = last
+                entry = int(came[j][last])
+                rows[a + j] = place[a + j] * k + entry
+                last = int(before[j - 1][entry]) if j else 0
+        self._backward(back, starts[order], lengths[order], ends[order], out, rows[order])
 
 
-#: Longer runs of name words are no names.
-NAME_WORDS = 4
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def field_spans(text: str, labels: np.ndarray, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
-    """Spans of runs of one label, trimmed of marks, where no pattern's span overlaps."""
+def field_spans(text: str, labels: np.ndarray, ends: np.ndarray, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
+    """Spans of runs of one label, trimmed of marks, where no pattern's span overlaps. A run ends
+    with its chain, and a name's behind a word that a mark follows."""
+    marked = np.flatnonzero(labels)
     places = [m.span() for m in _WORD.finditer(text)]
     busy = sorted((a, b) for a, _, b, _ in taken)
     out, t = [], 0
-    while t < len(labels):
-        if not (label := int(labels[t])):
+    while t < len(marked):
+        first = last = int(marked[t])
+        label = int(labels[first])
+        t += 1
+        while t < len(marked) and marked[t] == last + 1 and labels[last + 1] == label and not ends[last] and not (label == 1 and text[places[last][1] - 1] in _EDGE):
+            last += 1
             t += 1
-            continue
-        first = t
-        while t < len(labels) and labels[t] == label:
-            t += 1
-        if label == 1 and t - first > NAME_WORDS:
-            continue
-        start, end = places[first][0], places[t - 1][1]
+        start, end = places[first][0], places[last][1]
         while end > start and text[end - 1] in _EDGE:
             end -= 1
         while start < end and text[start] in "\"'«[{":
@@ -397,9 +447,9 @@ def spans_of(texts: list[str], decoder: Decoder) -> list[tuple[list, list]]:
         ends.append(np.unique(np.cumsum([0, *(len(x) for x in lines)])[1:] - 1) if words[-1] else np.zeros(0, dtype=int))
         ends[-1] = ends[-1][ends[-1] >= 0]
     out = []
-    for text, labels in zip(texts, decoder.labels(words, ends), strict=True):
+    for text, (labels, stops) in zip(texts, decoder.labels(words, ends), strict=True):
         base = pattern_spans(text)
-        out.append((base, field_spans(text, labels, base) if labels.any() else []))
+        out.append((base, field_spans(text, labels, stops, base) if labels.any() else []))
     return out
 
 
@@ -409,15 +459,14 @@ _SQL = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string,
 def find_pii(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, counts by pattern, a digest of the patterns' spans, all spans.
 
-    Row-local, no shuffle; whole texts. Null and empty texts have no spans. Rows that repeat are
+    Row-local, no shuffle; whole texts, chains of any length included. Null and empty texts have no spans. Rows that repeat are
     each searched; null ids stay null; an empty table gives no rows; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
     field = trained()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(field)
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for base, more in spans_of([t or "" for t in batch.column(1).to_pylist()], decoder):
                 counts = [sum(s[3] == k for s in base) for k in KINDS]
@@ -451,12 +500,11 @@ def mask_pii(docs: DataFrame) -> DataFrame:
 
     All rows and columns stay; a null text stays null. Other cases as in ``find_pii``.
     """
-    small_batches(docs.sparkSession)
     field, at, schema = trained(), docs.columns.index("text"), docs.schema
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(field)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(at).to_pylist()
             found = spans_of([t or "" for t in texts], decoder)
             new = [None if t is None else masked(t, base + more) for t, (base, more) in zip(texts, found, strict=True)]

@@ -3,7 +3,8 @@ import re
 
 import numpy as np
 
-from marlstone.llm.pii import LABELLED, CHAIN, Decoder, Field, features, find_pii, joined_spans, mask_pii, parsed, pattern_spans, spans_of, trained
+from marlstone.llm import pii
+from marlstone.llm.pii import LABELLED, Decoder, Field, features, find_pii, joined_spans, mask_pii, parsed, pattern_spans, spans_of, trained
 
 
 def brute(text):
@@ -43,7 +44,7 @@ def test_viterbi_equals_exhaustive_search():
     vocab = [w for words, _ in parsed(LABELLED) for w in words if w[-1] not in ".!?"]
     for _ in range(40):
         words = r.choices(vocab, k=r.randint(1, 6))
-        got = Decoder(field).labels([[w.encode() for w in words]], [np.array([len(words) - 1])])[0]
+        got = Decoder(field).labels([[w.encode() for w in words]], [np.array([len(words) - 1])])[0][0]
         rows, edge = [field.table_row(features(w)) for w in words], field.weights[:, -1]
 
         def value(path):
@@ -59,7 +60,29 @@ def test_viterbi_equals_exhaustive_search():
 
         best = max(itertools.product(range(3), repeat=len(words)), key=value)
         assert abs(value(best) - value(tuple(got))) < 1e-9
-    assert "s=X" in features("USA") and CHAIN > 1 and isinstance(field, Field)
+    assert "s=X" in features("USA") and isinstance(field, Field)
+
+
+def test_long_chains_are_decoded_whole(monkeypatch):
+    field, r = trained(), random.Random(4)
+    score = np.random.default_rng(5).normal(size=(3000, 3))
+    stops, at = [], 0
+    while at < 3000:
+        at = min(3000, at + r.choice([1, 2, 5, 63, 64, 65, 130, 700]))
+        stops.append(at)
+    cut = Decoder(field)._viterbi(score, np.array(stops))
+    monkeypatch.setattr(pii, "PIECE", 10_000)
+    assert (Decoder(field)._viterbi(score, np.array(stops)) == cut).all()
+    monkeypatch.setattr(pii, "PIECE", 7)
+    assert (Decoder(field)._viterbi(score, np.array(stops)) == cut).all()
+
+
+def test_no_run_or_word_is_too_long():
+    found = lambda t: [(t[a:b], k) for a, _, b, k in sum(spans_of([t], Decoder(trained()))[0], [])]
+    assert found("wrote to Mrs. Anna Maria Clara Eva Schmidt , who") == [("Anna Maria Clara Eva Schmidt", "name")]
+    prose = " ".join(["and the house is there"] * 400)
+    assert found(f"{prose} her SSN is 321-54-9876 {prose}") == [("321-54-9876", "number")]
+    assert pii.shape("a" * 5000 + "1" * 3 + "-" + "2" * 90) == "xddd-d+" and pii.shape("x" * 300 + "-" + "Y" * 300) == "x-X"
 
 
 def test_rows(spark):
@@ -71,4 +94,6 @@ def test_rows(spark):
     assert joined_spans([(5, 1, 6, "b"), (5, 0, 9, "a")]) == "a:5:9,b:5:6"
     out = {r.doc_id: r for r in mask_pii(df).collect()}
     assert out[2].text == "mail [EMAIL] now" and out[2].n_chars == 16 and out[0].text is None and out[0].n_chars == 5
+    twice = spark.createDataFrame([(1, "a@b.com")] * 2 + [(1, None)], "doc_id long, text string")
+    assert sorted(r.n_email for r in find_pii(twice).collect()) == [0, 1, 1]
     assert mask_pii(df).columns == df.columns and find_pii(df.limit(0)).count() == 0
