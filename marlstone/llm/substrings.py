@@ -1,4 +1,4 @@
-"""Substring deduplication: difference-cover anchors, then exact windows."""
+"""Substring deduplication: difference-cover anchors, extended to whole windows."""
 
 from __future__ import annotations
 
@@ -12,9 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import covered, only, partitions, small_batches, window_hashes, word_hashes
+from marlstone.llm.common import covered, partitions, sliced, window_hashes
 
-_ANCHOR, _HIGH = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+_ANCHOR, _LOW, _HIGH = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 
 
 @dataclass(frozen=True)
@@ -47,55 +47,72 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-#: Anchors or windows that a task gathers before it deals them to parts.
+def _lanes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word."""
+    import xxhash
+
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), dtype="<u8").reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+#: Anchors or windows that a task gathers before it deals them to cells.
 BUFFER = 1_000_000
-#: Bytes of an anchor's hash that travel; a chance match only makes a window be looked at in full.
-ANCHOR_BYTES = 5
-_BLOB = "part int, known boolean, docs binary, counts binary, values binary, starts binary"
+#: Bytes of an anchor's hash that travel, as a chance match only makes a window be looked at in full,
+#: and of a window's: among the 1e13 windows of 100 TB two different ones share 12 bytes with a chance
+#: of 1e-3.
+ANCHOR_BYTES, WINDOW_BYTES = 5, 12
+_ANCHOR_MASK = np.uint64((1 << 8 * ANCHOR_BYTES) - 1)
+#: Bytes of text whose anchors or windows make a cell, all of which a task holds at a time.
+CELL_BYTES = 32 << 20
+_BLOB = "cell int, known boolean, docs binary, counts binary, values binary, starts binary"
 _BLOB_KINDS = (pa.int32(), pa.bool_(), *[pa.binary()] * 4)
 
 
-def _short(hashes: np.ndarray, size: int) -> np.ndarray:
-    """The low ``size`` bytes of each hash, as unsigned integers."""
-    return hashes & np.uint64((1 << 8 * size) - 1)
+def _packed(low: np.ndarray, high: np.ndarray, size: int) -> bytes:
+    """``size`` bytes of each hash of 64 and 32 bits, the low ones first."""
+    raw = np.empty((len(low), 12), dtype=np.uint8)
+    raw[:, :8], raw[:, 8:] = low.astype("<u8").view(np.uint8).reshape(-1, 8), high.astype("<u4").view(np.uint8).reshape(-1, 4)
+    return np.ascontiguousarray(raw[:, :size]).tobytes()
 
 
-def _bytes(values: np.ndarray, size: int) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
+def _unpacked(raw: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    out = np.zeros((len(raw) // size, 12), dtype=np.uint8)
+    out[:, :size] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, size)
+    return np.ascontiguousarray(out[:, :8]).view("<u8").ravel(), np.ascontiguousarray(out[:, 8:]).view("<u4").ravel()
 
 
-def _numbers(raw: bytes, size: int) -> np.ndarray:
-    out = np.zeros((len(raw) // size, 8), dtype=np.uint8)
-    out[:, :size] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, size)
-    return out.view("<u8").ravel()
+def _grouped(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Where sorted hashes differ from the one before."""
+    return np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
 
 
 class _Dealer:
-    """Gathers (hash, document, start) and yields them as blobs by part of the hash, or of the
+    """Gathers (hash, document, start) and yields them as blobs by cell of the hash, or of the
     document for what is ``known`` already: of equal hashes only the smallest id travels on; the
-    others meet it here, so a hot passage costs each task one row a part."""
+    others meet it here, so a hot passage costs each task one row a cell."""
 
-    def __init__(self, parts: int, size: int, with_starts: bool) -> None:
-        self.parts, self.size, self.with_starts = parts, size, with_starts
+    def __init__(self, cells: int, size: int, with_starts: bool) -> None:
+        self.cells, self.size, self.with_starts = cells, size, with_starts
         self.clear()
 
     def clear(self) -> None:
         self.held, self.count = [], 0
 
-    def add(self, doc: int, hashes: np.ndarray, starts: np.ndarray | None = None) -> None:
-        self.held.append((doc, hashes, starts))
-        self.count += len(hashes)
+    def add(self, doc: int, low: np.ndarray, high: np.ndarray | None = None, starts: np.ndarray | None = None) -> None:
+        self.held.append((doc, low, high, starts))
+        self.count += len(low)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.count:
             return
-        hashes = np.concatenate([h for _, h, _ in self.held])
-        docs = np.repeat(np.array([d for d, _, _ in self.held], dtype=np.int64), [len(h) for _, h, _ in self.held])
-        starts = np.concatenate([s for _, _, s in self.held]).astype(np.int64) if self.with_starts else np.zeros(len(docs), dtype=np.int64)
+        low = np.concatenate([x[1] for x in self.held])
+        docs = np.repeat(np.array([x[0] for x in self.held], dtype=np.int64), [len(x[1]) for x in self.held])
+        high = np.concatenate([x[2] for x in self.held]) if self.with_starts else np.zeros(len(low), dtype=np.uint32)
+        starts = np.concatenate([x[3] for x in self.held]).astype(np.int64) if self.with_starts else np.zeros(len(low), dtype=np.int64)
         self.clear()
-        order = np.lexsort((starts, docs, hashes))
-        hashes, docs, starts = hashes[order], docs[order], starts[order]
-        new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+        order = np.lexsort((starts, docs, high, low))
+        low, high, docs, starts = low[order], high[order], docs[order], starts[order]
+        new = _grouped(low, high)
         group = np.cumsum(new) - 1
         least = docs[np.flatnonzero(new)][group]
         if self.with_starts:  # later documents' windows go; the first one's travel on
@@ -103,69 +120,88 @@ class _Dealer:
         else:  # anchors that two documents have are shared; one of them travels on
             known = (docs[np.flatnonzero(np.append(new[1:], True))] != docs[np.flatnonzero(new)])[group]
             sent = new
-        top = (hashes >> np.uint64(40)).astype(np.int64)
-        yield from self.blobs(True, docs[known] % self.parts, docs[known], hashes[known], starts[known])
-        yield from self.blobs(False, top[sent] % self.parts, docs[sent], hashes[sent], starts[sent])
+        top = (low >> np.uint64(12)).astype(np.int64) & 0x7FFFFFFF
+        yield from self.blobs(True, docs[known] % self.cells, docs[known], low[known], high[known], starts[known])
+        yield from self.blobs(False, top[sent] % self.cells, docs[sent], low[sent], high[sent], starts[sent])
 
-    def blobs(self, known, part, docs, hashes, starts) -> Iterator[pa.RecordBatch]:
+    def blobs(self, known, cell, docs, low, high, starts) -> Iterator[pa.RecordBatch]:
         if not len(docs):
             return
-        order = np.lexsort((docs, part))
-        part, docs, hashes, starts = part[order], docs[order], hashes[order], starts[order]
-        edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        order = np.lexsort((docs, cell))
+        cell, docs, low, high, starts = cell[order], docs[order], low[order], high[order], starts[order]
+        edges = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
         rows = []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             ids, counts = np.unique(docs[a:b], return_counts=True)
-            values = b"" if known and self.with_starts else _bytes(_short(hashes[a:b], self.size), self.size)
+            values = b"" if known and self.with_starts else _packed(low[a:b], high[a:b], self.size)
             where = starts[a:b].astype("<i4").tobytes() if self.with_starts else b""
-            rows.append((int(part[a]), known, ids.astype("<i8").tobytes(), counts.astype("<i4").tobytes(), values, where))
+            rows.append((int(cell[a]), known, ids.astype("<i8").tobytes(), counts.astype("<i4").tobytes(), values, where))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _BLOB_KINDS, strict=True)], _BLOB.replace(",", "").split()[::2])
 
 
-def _met(blobs: DataFrame, parts: int, size: int, with_starts: bool) -> DataFrame:
-    """Blobs by part of the document: the anchors that are shared, or the starts that go."""
+def _dealt(blobs: DataFrame) -> DataFrame:
+    """Blobs by cell: one cell to a task, or neighbours in turn where there are more cells than tasks
+    (sorted by Spark, which spills), so that Python holds one cell whatever the number of tasks."""
+    parts = partitions(blobs.sparkSession)
+    return blobs.repartitionById(parts, F.col("cell") % parts).sortWithinPartitions("cell")
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows (docs repeated, values, starts) of each cell, one cell after the other."""
+    now, held = None, []
+    for batch in batches:
+        for cell, _, *raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if cell != now and held:
+                yield held
+                held = []
+            now = cell
+            held.append((np.repeat(np.frombuffer(raw[0], "<i8"), np.frombuffer(raw[1], "<i4")), raw[2], raw[3]))
+    if held:
+        yield held
+
+
+def _met(blobs: DataFrame, cells: int, size: int, with_starts: bool) -> DataFrame:
+    """Blobs by cell of the document: the anchors that are shared, or the starts that go."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for batch in batches:
-            known = batch.column(1)
-            if (passed := batch.filter(known)).num_rows:
-                yield passed
-            for part, _, *raw in zip(*(c.to_pylist() for c in batch.filter(pc.invert(known)).columns), strict=True):
-                docs = np.repeat(np.frombuffer(raw[0], "<i8"), np.frombuffer(raw[1], "<i4"))
-                held.setdefault(part, []).append((docs, _numbers(raw[2], size), np.frombuffer(raw[3], "<i4") if with_starts else None))
-        for part in list(held):
-            pieces = held.pop(part)
-            docs, values = (np.concatenate([x[k] for x in pieces]) for k in (0, 1))
-            order = np.lexsort((docs, values))
-            docs, values = docs[order], values[order]
-            new = np.concatenate([[True], values[1:] != values[:-1]])
+        passed: list[pa.RecordBatch] = []
+
+        def fresh() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if (some := batch.filter(batch.column(1))).num_rows:
+                    passed.append(some)
+                yield batch.filter(pc.invert(batch.column(1)))
+
+        for held in _by_cell(fresh()):
+            yield from passed
+            passed.clear()
+            docs = np.concatenate([x[0] for x in held])
+            low, high = _unpacked(b"".join(x[1] for x in held), size)
+            starts = np.frombuffer(b"".join(x[2] for x in held), "<i4") if with_starts else np.zeros(len(docs), dtype=np.int64)
+            held.clear()
+            order = np.lexsort((docs, high, low))
+            docs, low, high, starts = docs[order], low[order], high[order], starts[order]
+            new = _grouped(low, high)
             group, first = np.cumsum(new) - 1, np.flatnonzero(new)
             if with_starts:
-                starts = np.concatenate([x[2] for x in pieces])[order]
                 hit = docs > docs[first][group]
             else:
-                starts = np.zeros(len(docs), dtype=np.int64)
-                last = np.flatnonzero(np.append(new[1:], True))
-                hit = (docs[last] != docs[first])[group]
-            yield from _Dealer(parts, size, with_starts).blobs(True, docs[hit] % parts, docs[hit], values[hit], starts[hit])
+                hit = (docs[np.flatnonzero(np.append(new[1:], True))] != docs[first])[group]
+            yield from _Dealer(cells, size, with_starts).blobs(True, docs[hit] % cells, docs[hit], low[hit], high[hit], starts[hit])
+        yield from passed
 
-    return blobs.repartition(parts, "part").mapInArrow(meet, _BLOB)
+    return _dealt(blobs).mapInArrow(meet, _BLOB)
 
 
-def _gathered(blobs: DataFrame, parts: int, size: int, with_starts: bool) -> DataFrame:
+def _gathered(blobs: DataFrame, size: int, with_starts: bool) -> DataFrame:
     """(doc_id, found): one row per document, its anchors or starts packed."""
     width = 4 if with_starts else size
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for batch in batches:
-            for part, _, *raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                docs = np.repeat(np.frombuffer(raw[0], "<i8"), np.frombuffer(raw[1], "<i4"))
-                held.setdefault(part, []).append((docs, np.frombuffer(raw[3] if with_starts else raw[2], dtype=np.uint8).reshape(-1, width)))
-        for part in list(held):
-            pieces = held.pop(part)
-            docs, values = (np.concatenate([x[k] for x in pieces]) for k in (0, 1))
+        for held in _by_cell(batches):
+            docs = np.concatenate([x[0] for x in held])
+            values = np.frombuffer(b"".join(x[2 if with_starts else 1] for x in held), dtype=np.uint8).reshape(-1, width)
+            held.clear()
             order = np.argsort(docs, kind="stable")
             docs, values = docs[order], values[order]
             edges = [0, *(np.flatnonzero(docs[1:] != docs[:-1]) + 1).tolist(), len(docs)]
@@ -176,51 +212,55 @@ def _gathered(blobs: DataFrame, parts: int, size: int, with_starts: bool) -> Dat
                     [pa.array([int(docs[a]) for a, _ in some], pa.int64()), pa.array([values[a:b].tobytes() for a, b in some], pa.binary())], ["doc_id", "found"]
                 )
 
-    return blobs.repartition(parts, "part").mapInArrow(gather, "doc_id long, found binary")
+    return _dealt(blobs).mapInArrow(gather, "doc_id long, found binary")
 
 
 def repeated_starts(docs: DataFrame, cover: Cover = Cover()) -> DataFrame:
     """(doc_id, found): where windows start in a document that also start in one with a smaller id.
 
     ``found``: binaries of little-endian 32-bit starts. Only hashes at cover positions are dealt out;
-    those that two documents have go back to their documents, whose windows around them are hashed
-    whole, dealt out, and held against the smallest id with the same hash. Tasks exchange packed
-    blobs by part of the hash; equal ones meet first in the task they come from, and groups are only
-    reduced to their smallest id, never paired, so a common passage costs its occurrences.
+    those that two documents have go back to their documents, where each is extended to the whole
+    windows that hold it. Windows are held against the smallest id with the same 96-bit hash of their
+    words. Tasks exchange packed blobs by cells of the hash; equal ones meet first in the task they
+    come from, and groups are only reduced to their smallest id, never paired, so a common passage
+    costs its occurrences. Cells follow from the bytes of text, so a task's memory doesn't grow.
     """
-    parts = partitions(docs.sparkSession)  # blobs: its square, or the entries if these are fewer
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first().bytes
+    cells = max(partitions(docs.sparkSession), -(-size // CELL_BYTES))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealer = _Dealer(parts, ANCHOR_BYTES, False)
-        for batch in batches:
+        dealer = _Dealer(cells, ANCHOR_BYTES, False)
+        for batch in sliced(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if doc is not None:
-                    words = _words(text.as_py())
-                    if len(words) >= cover.window:
-                        dealer.add(doc, np.unique(cover.anchors(word_hashes(words))[1]))
+                words = _words(text.as_py())
+                if len(words) >= cover.window:
+                    dealer.add(doc, np.unique(cover.anchors(_lanes(words)[0])[1] & _ANCHOR_MASK))
                 if dealer.count >= BUFFER:
                     yield from dealer.flush()
         yield from dealer.flush()
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealer = _Dealer(parts, 8, True)
-        for batch in batches:
+        dealer = _Dealer(cells, WINDOW_BYTES, True)
+        for batch in sliced(batches):
             for doc, text, shared in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                hashes = word_hashes(_words(text.as_py()))
-                at, found = cover.anchors(hashes)
-                known = _numbers(shared.as_py(), ANCHOR_BYTES)
-                hit = at[np.isin(_short(found, ANCHOR_BYTES), known)]
+                words = _words(text.as_py())
+                if len(words) < cover.window:  # of rows that share an id
+                    continue
+                low, high = _lanes(words)
+                at, found = cover.anchors(low)
+                hit = at[np.isin(found & _ANCHOR_MASK, _unpacked(shared.as_py(), ANCHOR_BYTES)[0])]
                 # a window from p holds the anchors that start at p to p + period - 1
                 starts = np.unique((hit[:, None] - np.arange(cover.period)).ravel())
-                starts = starts[(starts >= 0) & (starts <= len(hashes) - cover.window)]
-                dealer.add(doc, window_hashes(hashes, cover.window, _HIGH)[starts], starts)
+                starts = starts[(starts >= 0) & (starts <= len(words) - cover.window)]
+                more = window_hashes(high, cover.window, _HIGH)[starts] >> np.uint64(32)
+                dealer.add(doc, window_hashes(low, cover.window, _LOW)[starts], more.astype(np.uint32), starts)
                 if dealer.count >= BUFFER:
                     yield from dealer.flush()
         yield from dealer.flush()
 
-    shared = _gathered(_met(docs.mapInArrow(anchors, _BLOB), parts, ANCHOR_BYTES, False), parts, ANCHOR_BYTES, False)
+    shared = _gathered(_met(docs.mapInArrow(anchors, _BLOB), cells, ANCHOR_BYTES, False), ANCHOR_BYTES, False)
     near = docs.join(shared, "doc_id").select("doc_id", "text", "found")
-    return _gathered(_met(near.mapInArrow(windows, _BLOB), parts, 8, True), parts, 8, True)
+    return _gathered(_met(near.mapInArrow(windows, _BLOB), cells, WINDOW_BYTES, True), WINDOW_BYTES, True)
 
 
 def cut_repeats(docs: DataFrame, cover: Cover = Cover()) -> DataFrame:
@@ -230,15 +270,15 @@ def cut_repeats(docs: DataFrame, cover: Cover = Cover()) -> DataFrame:
     A word goes if a window over it also starts in a document with a smaller id; windows are judged
     on the input. Null, empty and short texts lose nothing. Rows that repeat an id count as one
     document for "smaller"; each is cut at the starts found in any of them (equal rows alike). Null
-    ids lose nothing; an empty table gives no rows; other columns are ignored.
+    ids lose nothing; very long texts are read whole; an empty table gives no rows; other columns are
+    ignored.
     """
-    small_batches(docs.sparkSession)
-    every = only(docs, "doc_id", "text")
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     docs = every.where("doc_id IS NOT NULL")  # both joins then read one exchange of the texts
     starts = repeated_starts(docs, cover)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             counts, removed, kept = [], [], []
             for text, found in zip(batch.column(1), batch.column(2), strict=True):
                 words = _words(text.as_py())

@@ -3,7 +3,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from marlstone.llm import substrings
 from marlstone.llm.substrings import Cover, cut_repeats
 
 
@@ -57,3 +59,23 @@ def test_odd_rows(spark):
     assert cut_repeats(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         Cover(places=(0, 1))
+
+
+def test_long_texts_many_cells_and_int_ids(spark, monkeypatch):
+    r = random.Random(6)
+    vocab = ["".join(r.choices("abcdef", k=5)) for _ in range(900)]
+    long = r.choices(vocab, k=60_000)
+    rows = [(0, " ".join(long)), (1, " ".join(r.choices(vocab, k=500) + long[30_000:30_040] + r.choices(vocab, k=500))), (2, " ".join(long[100:50_000]))]
+    rows += [(i, " ".join(r.choices(vocab, k=100) + long[i : i + 15])) for i in range(3, 40)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    want = brute(rows)
+    found = lambda: {g.doc_id: (g.n_words, g.n_removed, g.kept_sha256) for g in cut_repeats(df).collect()}
+    assert found() == want
+    monkeypatch.setattr(substrings, "CELL_BYTES", 20_000)  # more cells than tasks
+    assert found() == want
+
+
+def test_every_cell_has_its_own_task(spark):
+    blobs = spark.range(8).selectExpr("cast(id as int) AS cell", "false AS known")
+    per = substrings._dealt(blobs).groupBy(F.spark_partition_id().alias("t")).count().collect()
+    assert len(per) == 8 and {p["count"] for p in per} == {1}
