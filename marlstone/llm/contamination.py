@@ -4,6 +4,7 @@ exact weighted-shingle similarity. All of it is DataFrame functions."""
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,20 +12,34 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import SPACE, written
 
 _BLANKS = " \t\n\x0b\x0c\r"
-BITS = 64
+#: A fingerprint is two majority hashes of 64 bits, cut in blocks of 16 (fixed values).
+BITS, BLOCK = 128, 16
+BLOCKS = BITS // BLOCK
 
 
 @dataclass(frozen=True)
 class Leaks:
-    """Parameters. At the threshold 0.8 fingerprints differ in about 10 bits of 64, by chance in
-    more than ``radius`` at one window in a thousand; ``radius + 1`` blocks lose none within it."""
+    """Parameters. At the threshold 0.8 fingerprints differ in about 19 bits of 128, and by chance in
+    more than ``radius`` at about one window in a thousand.
+
+    Two fingerprints within the radius differ in at most ``radius // BLOCKS`` bits of some block, so
+    a key within ``window_probe`` bits of the one's block lies within ``item_probe`` of the other's.
+    """
 
     words: int = 5
     numerator: int = 80
     denominator: int = 100
-    radius: int = 18
-    #: Shingles of the benchmark up to which they are broadcast; more are joined by a shuffle.
-    broadcast_rows: int = 200_000
+    radius: int = 31
+    window_probe: int = 1
+    item_probe: int = 2
+    #: Shingles, and blocks' keys, of the benchmark up to which they are broadcast; more are joined by
+    #: a shuffle, with each key of a block dealt to ``salts`` tasks.
+    broadcast_rows: int = 400_000
+    salts: int = 16
+
+    def __post_init__(self) -> None:
+        if BLOCKS * (self.window_probe + self.item_probe + 1) <= self.radius:
+            raise ValueError("the probes don't reach the radius")
 
 
 def _held(df: DataFrame, *columns: Column) -> DataFrame:
@@ -47,26 +62,72 @@ def shingles(column: str, k: int) -> Column:
 
 
 def simhash(hashes: Column) -> Column:
-    """64 majority bits of the hashes, each as often as it occurs."""
-    ones = lambda b: F.aggregate(hashes, F.lit(0), lambda s, h: s + F.getbit(h, b).cast("int"))
-    bit = lambda b: F.when(2 * ones(b) > F.size(hashes), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
-    return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), bit), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+    """64 majority bits of the hashes, each as often as it occurs (2,097,151 hashes at most).
+
+    Three bits at a time are counted in lanes of 21 bits of one sum.
+    """
+    spread, lanes, lane = 1 | 1 << 20 | 1 << 40, 1 | 1 << 21 | 1 << 42, (1 << 21) - 1
+    zero = F.lit(0).cast("long")
+    three = lambda h, j: F.call_function("shiftrightunsigned", h, j * 3).bitwiseAND(F.lit(7).cast("long"))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(21)), lambda j: F.aggregate(hashes, zero, lambda s, h: s + (three(h, j) * spread).bitwiseAND(F.lit(lanes))))
+    most = lambda s, k: 2 * F.shiftright(s, 21 * k).bitwiseAND(F.lit(lane)) > F.size(hashes)
+    bits = F.transform(counts, lambda s: sum((F.when(most(s, k), 1 << k).otherwise(0) for k in (1, 2)), F.when(most(s, 0), 1).otherwise(0)).cast("long"))
+    return F.aggregate(F.transform(bits, lambda x, j: F.call_function("shiftleft", x, j * 3)), zero, lambda a, x: a.bitwiseOR(x))
+
+
+def fingerprint(hashes: Column) -> Column:
+    """The majority bits of the hashes, and of hashes of them."""
+    return F.struct(simhash(hashes).alias("f0"), simhash(F.transform(hashes, lambda h: F.xxhash64(h))).alias("f1"))
+
+
+def _masks(most: int) -> list[int]:
+    """All values of a block with up to ``most`` bits."""
+    return [sum(1 << b for b in bits) for k in range(most + 1) for bits in combinations(range(BLOCK), k)]
+
+
+def _block(print_: str, j: int) -> Column:
+    """Block ``j`` of a fingerprint column."""
+    per = BLOCKS // 2
+    return F.shiftrightunsigned(F.col(f"{print_}.f{j // per}"), BLOCK * (j % per)).bitwiseAND(F.lit((1 << BLOCK) - 1)).cast("int")
+
+
+def block_keys(print_: str, most: int) -> Column:
+    """(block, bits): all values within ``most`` bits of each block of a fingerprint column."""
+    masks = F.array(*map(F.lit, _masks(most)))
+
+    def keys(j: int) -> Column:
+        own = _block(print_, j)
+        return F.transform(masks, lambda m: F.struct(F.lit(j).alias("block"), own.bitwiseXOR(m).alias("bits")))
+
+    return F.flatten(F.array(*map(keys, range(BLOCKS))))
+
+
+def distance(a: str, b: str) -> Column:
+    """Bits in which two fingerprint columns differ."""
+    apart = lambda f: F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}")))
+    return apart("f0") + apart("f1")
+
+
+def first_meeting(a: str, b: str, p: Leaks) -> Column:
+    """Of all keys (block, bits) at which two fingerprints meet, one, so that a pair is one row: in the
+    first block that is close enough, with the lowest bits in which they differ turned."""
 
+    def turned(j: int) -> Column:
+        bits = _block(a, j)
+        for _ in range(p.window_probe):
+            apart = bits.bitwiseXOR(_block(b, j))
+            bits = bits.bitwiseXOR(apart.bitwiseAND(-apart))
+        return F.struct(F.lit(j).alias("block"), bits.alias("bits"))
 
-def blocks(fingerprint: str, radius: int) -> Column:
-    """(block, bits) of a fingerprint cut in ``radius + 1`` blocks: any two fingerprints within the
-    radius agree in one."""
-    n = radius + 1
-    edges = [BITS * j // n for j in range(n + 1)]
-    cut = lambda a, b: F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
-    return F.array(*(F.struct(F.lit(j).alias("block"), cut(edges[j], edges[j + 1]).alias("bits")) for j in range(n)))
+    close = lambda j: F.bit_count(_block(a, j).bitwiseXOR(_block(b, j))) <= p.window_probe + p.item_probe
+    return F.coalesce(*(F.when(close(j), turned(j)) for j in range(BLOCKS)))
 
 
 def _fingerprinted(df: DataFrame) -> DataFrame:
-    """Adds the fingerprint and the bag of ``hashes``, in which a repeat counts by its number."""
+    """Adds the fingerprint ``print`` and the bag of ``hashes``, in which a repeat counts by its number."""
     df = _held(df, F.array_sort("hashes").alias("sorted"))
     bag = F.transform("sorted", lambda x, i: F.xxhash64(x, i - F.array_position(F.col("sorted"), x)))
-    return df.select(*(c for c in df.columns if c not in ("sorted", "hashes")), simhash(F.col("hashes")).alias("fingerprint"), bag.alias("bag"))
+    return df.select(*(c for c in df.columns if c not in ("sorted", "hashes")), fingerprint(F.col("hashes")).alias("print"), bag.alias("bag"))
 
 
 def _items(benchmark: DataFrame, k: int) -> DataFrame:
@@ -104,12 +165,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, p: Leaks = Leaks()) -> Dat
     shared, united, similarity, of the most similar window (the first of equals).
 
     A window of as many words as the item, or the whole of a shorter document, on or between the
-    places where shared shingles align gets a SimHash fingerprint; blocks of it meet the blocks of items of that size; pairs
-    within the radius are held to ``shared / united`` of the weighted shingles (a shingle counts as
-    often as it occurs), which must reach the threshold. Items under five words count as one
-    shingle. Null or blank texts and items hold nothing; rows without an id can't be named and are
-    left out; rows that repeat an id count together; empty tables give no rows; other columns are
-    ignored.
+    places where shared shingles align gets a SimHash fingerprint; keys near its blocks meet keys near
+    the blocks of items of that size; pairs within the radius are held to ``shared / united`` of the
+    weighted shingles (a shingle counts as often as it occurs), which must reach the threshold. Items
+    under five words count as one shingle. Null or blank texts and items hold nothing; very long texts
+    are searched whole; rows without an id can't be named and are left out; rows that repeat an id
+    count together; empty tables give no rows; other columns are ignored.
     """
     docs, benchmark = docs.select("doc_id", "text"), benchmark.select("item_id", "text")
     items = written(_items(benchmark, p.words))
@@ -131,13 +192,18 @@ def _leaks(docs: DataFrame, items: DataFrame, unit: int, p: Leaks) -> DataFrame:
     part = texts.select("doc_id", "win.*", F.slice("w", F.col("win.start") + 1, F.col("win.size")).alias("part"))
     windows = written(_fingerprinted(_held(part, shingles("part", unit).alias("hashes")).drop("part")))
     mine = _held(items.where(F.col("unit") == unit), shingles("w", unit).alias("hashes"))
-    mine = written(_fingerprinted(mine.select("item_id", "n", "hashes")).withColumnRenamed("fingerprint", "item_print").withColumnRenamed("bag", "item_bag"))
+    mine = written(_fingerprinted(mine.select("item_id", "n", "hashes")).withColumnRenamed("print", "item_print").withColumnRenamed("bag", "item_bag"))
     key = ["n", "block", "bits"]
-    left = windows.select("doc_id", "n", "start", "size", "fingerprint", F.explode(blocks("fingerprint", p.radius)).alias("b")).select("doc_id", "start", "size", "fingerprint", "n", "b.*")
-    right = mine.select("item_id", "n", "item_print", F.explode(blocks("item_print", p.radius)).alias("b")).select("item_id", "item_print", "n", "b.*")
-    close = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))) <= p.radius
-    pairs = left.join(right, key).where(close).select("doc_id", "n", "start", "size", "fingerprint", "item_id").distinct()
-    full = pairs.join(windows, ["doc_id", "n", "start", "size", "fingerprint"]).join(mine.drop("n", "item_print"), "item_id")
+    left = windows.select("doc_id", "n", "start", "size", "print", F.explode(block_keys("print", p.window_probe)).alias("k")).select("doc_id", "start", "size", "print", "n", "k.*")
+    right = mine.select("item_id", "n", "item_print", F.explode(block_keys("item_print", p.item_probe)).alias("k")).select("item_id", "item_print", "n", "k.*")
+    if mine.count() * BLOCKS * len(_masks(p.item_probe)) <= p.broadcast_rows:
+        met = left.join(F.broadcast(right), key)
+    else:  # many windows share a key where one passage is common
+        salted = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))))
+        met = left.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(p.salts)).cast("int")).join(salted, [*key, "salt"])
+    once = F.struct("block", "bits").eqNullSafe(first_meeting("print", "item_print", p))
+    pairs = met.where((distance("print", "item_print") <= p.radius) & once).select("doc_id", "n", "start", "size", "item_id")
+    full = pairs.join(windows.drop("print"), ["doc_id", "n", "start", "size"]).join(mine.drop("n", "item_print"), "item_id")
     shared = F.size(F.array_intersect("bag", "item_bag"))
     full = _held(full, shared.alias("shared"), (F.size("bag") + F.size("item_bag")).alias("both"))
     full = full.withColumn("united", F.col("both") - F.col("shared")).where(F.col("shared") * p.denominator >= F.col("united") * p.numerator)
