@@ -162,7 +162,7 @@ def _candidates(docs: DataFrame, items: DataFrame, unit: int, p: Leaks) -> DataF
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, p: Leaks = Leaks()) -> DataFrame:
     """One row per document and benchmark item that it holds: doc_id, item_id, start, n_words,
-    shared, united, similarity, of the most similar window (the first of equals).
+    shared, united, similarity, of the most similar window (the first of equals among those looked at).
 
     A window of as many words as the item, or the whole of a shorter document, on or between the
     places where shared shingles align gets a SimHash fingerprint; keys near its blocks meet keys near
@@ -219,3 +219,23 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, p: Leaks = Leaks()) -> Dat
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of all of ``benchmark`` held by all ``documents``."""
     return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+#: DuckDB SQL of the whole result: windows of an item's size on or between alignments of shared shingles.
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+j AS (SELECT item_id, len(w) AS n, least(len(w), 5) AS unit, w FROM i WHERE len(w) > 0),
+a AS (SELECT item_id, n, unit, p AS q, array_to_string(w[p : p + unit - 1], ' ') AS g FROM j, unnest(range(1, n - unit + 2)) AS u(p)),
+b AS (SELECT item_id, n, unit, g, count(*) AS c FROM a GROUP BY item_id, n, unit, g),
+s AS (SELECT doc_id, len(w) AS length, unit, p, array_to_string(w[p : p + unit - 1], ' ') AS g FROM d, (SELECT DISTINCT unit FROM j), unnest(range(1, len(w) - unit + 2)) AS u(p)),
+m AS (SELECT s.doc_id, item_id, s.unit, n, least(n, length) AS size, length, s.p, s.g, c FROM s JOIN b ON s.g = b.g AND s.unit = b.unit),
+-- each shared shingle counts in the windows that hold it: starts p - (size - unit) to p
+v AS (SELECT doc_id, item_id, unit, n, size, start, g, least(count(*), c) AS met FROM m,
+      unnest(range(greatest(1, p - size + unit), least(p, length - size + 1) + 1)) AS o(start) GROUP BY doc_id, item_id, unit, n, size, start, g, c),
+t AS (SELECT doc_id, item_id, start, size, sum(met)::INTEGER AS shared, (n - unit + 1 + size - unit + 1 - sum(met))::INTEGER AS united, n FROM v GROUP BY doc_id, item_id, start, size, n, unit),
+l AS (SELECT DISTINCT doc_id, n, greatest(1, least(p - q + 1, length - least(n, length) + 1)) AS x, s.unit FROM s JOIN a ON s.g = a.g AND s.unit = a.unit),
+o AS (SELECT doc_id, n, x, lead(x) OVER (PARTITION BY doc_id, n ORDER BY x) - x AS gap, unit FROM l),
+k AS (SELECT doc_id, n, unnest(range(x, x + CASE WHEN gap <= 2 * (n - unit) THEN gap ELSE 1 END)) AS start FROM o)
+SELECT DISTINCT ON (doc_id, item_id) doc_id, item_id, (start - 1)::INTEGER AS start, size::INTEGER AS n_words, shared, united, shared / united AS similarity
+FROM t SEMI JOIN k USING (doc_id, n, start) WHERE shared * 100 >= united * 80 ORDER BY doc_id, item_id, shared / united DESC, start"""

@@ -285,3 +285,21 @@ def keep_one(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> DataFrame
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates of all ``documents`` over lower-cased two-word shingles."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), NearDuplicates(words=2, fold_case=True))
+
+
+#: DuckDB SQL of the whole result: all pairs that share a shingle and are near in size, on full sets.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, hash(unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END)) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+r AS (SELECT s.doc_id, g, n, count(*) OVER (PARTITION BY g) AS df FROM s JOIN n USING (doc_id)),
+-- a pair that links shares one of the rarest fifth of either set
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY df, g) AS k FROM r),
+c AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM p AS a JOIN p AS b ON a.g = b.g AND a.doc_id < b.doc_id
+      WHERE 5 * (a.k - 1) <= a.n AND 5 * (b.k - 1) <= b.n AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+l AS (SELECT x, y FROM c JOIN r AS a ON a.doc_id = x JOIN r AS b ON b.doc_id = y AND a.g = b.g GROUP BY x, y, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+t(x, y) AS (SELECT DISTINCT x, x FROM e UNION SELECT t.x, e.y FROM t JOIN e ON t.y = e.x),
+m AS (SELECT x, min(y) AS component FROM t GROUP BY 1)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component, w.doc_id) AS component_id, coalesce(component, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m ON x = w.doc_id"""

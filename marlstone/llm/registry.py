@@ -16,5 +16,12 @@ QUERIES = {
     "op8_minhash": minhash.op8_minhash,
     "op10_quality_rules": quality.op10_quality_rules,
 }
-#: zstandard ratios, trained models and searches are beyond SQL; tests/llm holds brute-force versions.
-ORACLES: dict[str, str] = {}
+#: Models, compression, tokenizers and hash orders are beyond SQL; tests/llm holds these to brute-force
+#: versions, and the base columns of op1, op6 and op10 to plain expressions or SQL.
+ORACLES: dict[str, str] = {
+    "op2_url_filter": urls.SQL,
+    "op3_warc": warc.SQL,
+    "op4_decontamination": contamination.SQL,
+    "op5_substring_dedup": substrings.SQL,
+    "op8_minhash": minhash.SQL,
+}

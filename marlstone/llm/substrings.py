@@ -304,3 +304,16 @@ def cut_repeats(docs: DataFrame, cover: Cover = Cover()) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeats of 13 words or more cut from all ``documents``."""
     return cut_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+
+
+#: DuckDB SQL of the whole result.
+SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS g FROM w, unnest(range(1, len(w) - 11)) AS u(i)),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM g),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM f, unnest(range(0, 13)) AS o(k) WHERE first < doc_id),
+k AS (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.i) AS kept FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM w) AS x
+      ANTI JOIN gone ON x.doc_id = gone.doc_id AND x.i = gone.i GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)"""
