@@ -50,8 +50,8 @@ class _Runs(dict):
 def encoder(tokenizer: str):
     """text -> array of ids by ``tokenizers``, without special tokens added.
 
-    Merges never cross the runs that the splitter cuts, so each run's ids are asked for once and
-    remembered. Texts with characters beyond U+024F or with a special token's string go to the
+    Merges never cross the runs that the splitter cuts, so the model is asked for each run's ids once,
+    in the splitter's signs for its bytes, and they are remembered. Texts with characters beyond U+024F or with a special token's string go to the
     tokenizer whole; so does every text of a vocabulary that isn't a plain byte-level one.
     """
     import json
@@ -68,7 +68,8 @@ def encoder(tokenizer: str):
     def whole(text: str) -> np.ndarray:
         return np.array(tool.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    known = _Runs(whole)
+    signs = {c: "".join(run for run, _ in tool.pre_tokenizer.pre_tokenize_str(chr(c))) for c in range(0x250)} if plain else {}
+    known = _Runs(lambda run: np.array([t.id for t in tool.model.tokenize(run.translate(signs))], dtype="<u4"))
 
     def encode(text: str) -> np.ndarray:
         if not plain or _SETTLED.search(text) or any(s in text for s in special):
