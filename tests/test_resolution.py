@@ -100,25 +100,38 @@ def test_buyers(spark):
         [(1, 1.5e6, "p", 4, 200.0, 1000.0, "Maison", "piscine et jardin"), (2, 2.1e6, "p", 3, 180.0, None, "Maison", ""), (3, 5e6, "p", 4, 200.0, None, "Maison", ""), (4, None, None, None, None, None, None, None), (5, 1.5e6, "q", 1, 50.0, 1.0, "Terrain", "")],
         "entity int, price double, place string, bedrooms int, area double, land double, kind string, text string",
     )
+    got = {(r.buyer, r.entity): r for r in buyers.score_pairs(who.crossJoin(what)).collect()}
+    assert {k: r.score for k, r in got.items()} == {(1, 1): 96, (1, 2): 61, (1, 3): 0, (1, 4): 0, (1, 5): 0} | {(2, e): 0 for e in range(1, 6)}
+    assert [k for k, r in got.items() if r.matched] == [(1, 1)] and set(got[1, 1].asDict()) == {*who.columns, *what.columns, "score", "matched", "reasons"}
+    found = {r.field: (r.ok, r.code, r.have, r.want, r.disqualifying) for r in got[1, 2].reasons}
+    assert found == {
+        "budget": (False, "over", 2.1e6, 2e6, False), "place": (True, "listed", None, None, False), "bedrooms": (False, "one short", 3.0, 4.0, False), "area": (False, "too little", 180.0, 200.0, False),
+        "land": (None, "unknown", None, 900.0, False), "kind": (True, "wanted", None, None, False), "pool": (False, "not mentioned", None, None, False),
+    }
+    assert [(r.field, r.code, r.disqualifying) for r in got[1, 3].reasons][:1] == [("budget", "far over", True)] and got[2, 1].reasons == []
     for most in (100, 0):
-        got = {(r.buyer, r.entity): r for r in buyers.matches(who, what, most).collect()}
-        assert {k[1]: r.score for k, r in got.items() if k[0] == 1} | {4: 0, 5: 0} == {1: 96, 2: 61, 3: 0, 4: 0, 5: 0}
-        assert got[1, 1].matched and not got[1, 2].matched and got[2, 1].score == 0
-        reasons = {r.field: (r.ok, r.detail) for r in got[1, 2].reasons}
-        assert reasons["budget"] == (False, "2.1 M€ is 5% over their 2 M€ ceiling") and reasons["land"][0] is None
-        assert reasons["pool"] == (False, "pool — not mentioned in the listing")
+        (one,) = buyers.with_reasons(buyers.matches(who, what, most)).collect()
+        assert (one.buyer, one.entity, one.score) == (1, 1, 96) and one.reasons == got[1, 1].reasons
 
 
-def test_buyers_meet_all_entities_at_every_size(spark):
+def test_matches_are_all_pairs_that_match_at_every_size(spark, monkeypatch):
     columns = "buyer int, budget_min double, budget_max double, places array<string>, bedrooms_min int, area_min double, land_min double, kinds array<string>, must_have array<string>, nice_to_have array<string>"
-    who = spark.createDataFrame([(i, 1e6, 2e6, ["p"] if i % 3 else [], 4, 200.0, None, ["maison"], ["pool"], ["garden"]) for i in range(12)], columns)
+    r = random.Random(5)
+    some = lambda *xs: r.choice(xs)
+    who = spark.createDataFrame(
+        [(i, some(None, 0.0, 1e6, 1.4e6), some(None, 1.2e6, 2e6, 9e6), some([], ["p"], ["p", "p", "q"]), some(None, 3, 4), some(None, 100.0, 200.0), None, some([], ["Maison"], ["villa", "FLAT"]), [], some([], ["garden"], ["garden", "garden", "big_door"])) for i in range(80)],
+        columns,
+    )
     what = spark.createDataFrame(
-        [(j, 1.5e6, ["p", "q", None][j % 3], 4, 200.0, None, "Maison", "jardin") for j in range(30)],
+        [(j, some(None, 0.0, 0.5, 7e5, 1e6, 1.5e6, 2.2e6, 2.21e6, 5e6), some("p", "q", None), some(2, 3, 4, None), some(90.0, 170.0, 250.0, None), None, some("maison", "Flat", None), some("jardin", "a BIG door", "", None)) for j in range(120)],
         "entity int, price double, place string, bedrooms int, area double, land double, kind string, text string",
     )
-    few, many = ([tuple(r) for r in buyers.matches(who, what, most).select("buyer", "entity", "score", "matched").orderBy("buyer", "entity").collect()] for most in (100, 0))
-    assert few == many and len(few) == 360
-    assert (1, 1, 75, True) in many and (1, 2, 75, True) in many  # place is no condition
+    rows = lambda df: sorted(map(tuple, df.select("buyer", "entity", "score").collect()))
+    want = rows(buyers.score_pairs(who.crossJoin(what)).where("matched"))
+    assert 200 < len(want) < 80 * 120 and rows(buyers.matches(who, what)) == rows(buyers.matches(who, what, 0)) == want
+    monkeypatch.setattr(buyers, "MOST_WISHES", 1)
+    assert rows(buyers.matches(who, what)) == want
+    assert rows(buyers.matches(who.limit(0), what)) == rows(buyers.matches(who, what.limit(0), 0)) == []
 
 
 def test_reused_ids_equal_taking_in_turn(spark):
