@@ -3,11 +3,13 @@ throughout; only the repair of garbled text needs Python."""
 
 from __future__ import annotations
 
+import codecs
+import re
 import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
@@ -284,21 +286,18 @@ def has_mojibake(text: Column) -> Column:
     return F.coalesce(text.rlike(MOJIBAKE), F.lit(False))
 
 
-def repaired(text: str) -> str:
-    """Each misread two- to four-byte character put right; what doesn't decode stays."""
-    import re
-
-    byte = {c: n for c, n in zip(_C1, (0x80, *range(0x82, 0x8D), 0x8E, *range(0x91, 0x9D), 0x9E, 0x9F), strict=True)}
-    later = f"[\u0080-¿{_C1}]"
+#: What follows a lead byte of the marks that Latin texts use, and where the sequences lie (fixed values).
+_LATER = f"[\u0080-¿{_C1}]"
+_GARBLED = re.compile(f"[ÂÃÅ]{_LATER}|â{_LATER}{{2}}|ð{_LATER}{{3}}")
+# bytes that Windows-1252 has no sign for stand for themselves
+codecs.register_error("marlstone-latin-1", lambda e: (e.object[e.start : e.end].encode("latin-1"), e.end))
 
-    def decoded(m: re.Match) -> str:
-        try:
-            out = bytes(byte.get(c, ord(c)) for c in m[0]).decode("utf-8")
-        except (UnicodeDecodeError, ValueError):
-            return m[0]
-        return out if len(out) == 1 else m[0]
 
-    return re.sub(f"[ÂÃÅ]{later}|â{later}{{2}}|ð{later}{{3}}", decoded, text.replace("Ã ", "Ã\u00a0"))
+def repaired(text: str) -> str:
+    """Each misread two- to four-byte character put right; what doesn't decode stays. A no-break space
+    behind à is often a plain one by then."""
+    again = lambda m: m[0].encode("cp1252", "marlstone-latin-1").decode("utf-8", "ignore") or m[0]
+    return _GARBLED.sub(again, text.replace("Ã ", "Ã\u00a0"))
 
 
 @pandas_udf(StringType())
@@ -307,6 +306,18 @@ def repair_mojibake(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else repaired(t))
 
 
+def with_repaired(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with a column's garbled texts repaired; only rows that have one go through Python."""
+    bad = has_mojibake(F.col(column))
+    return df.where(~bad).unionByName(df.where(bad).withColumn(column, repair_mojibake(column)))
+
+
+def beyond_repair(df: DataFrame, column: str) -> DataFrame:
+    """The rows whose text is garbled still after the repair."""
+    bad = df.where(has_mojibake(F.col(column)))
+    return bad.where(has_mojibake(repair_mojibake(column)))
+
+
 # ---- sites, hashes, formats -----------------------------------------------------------------
 
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "com.au", "co.nz", "com.br")
@@ -348,8 +359,9 @@ def price_jump(before: Column, after: Column) -> Column:
 
 
 def money(amount: Column) -> Column:
-    """Millions with up to two decimals, else thousands."""
-    millions = F.regexp_replace(F.regexp_replace(F.format_string("%.2f", amount / 1e6), r"0$", ""), r"\.0$", "")
+    """Millions, whole or with up to two decimals, else thousands."""
+    parts = F.regexp_replace(F.format_string("%.2f", amount / 1e6), r"0$", "")
+    millions = F.when(amount % 1e6 == 0, F.format_string("%.0f", amount / 1e6)).otherwise(parts)
     return F.when(amount >= 1e6, F.concat(millions, F.lit(" M€"))).otherwise(F.concat(F.floor(amount / 1000 + 0.5).cast("string"), F.lit(" k€")))
 
 

@@ -5,6 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.tables import written
+
+
+def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+    """Rows with their number from 1 in a total order: sorted by ranges, numbered within each, and
+    counted on from range to range, so no task holds them all."""
+    ranged = written(rows.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
+    parted = ranged.withColumn("__part", F.shiftright("__at", 33))  # the range, then the place in it
+    sizes = parted.groupBy("__part").agg(F.count("*").alias("__n"))  # a row a task
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__before") + 1
+    return parted.join(F.broadcast(before.select("__part", "__before")), "__part").withColumn(name, place).drop("__at", "__part", "__before")
+
 
 def diff(known: DataFrame, found: DataFrame, key: str, complete: bool = True, stale: DataFrame | None = None, shielded: DataFrame | None = None) -> DataFrame:
     """(key, plan) with plan ``added``, ``present``, ``refresh``, ``removed`` or ``suppressed``.
@@ -44,8 +57,8 @@ def plan_refresh(candidates: DataFrame, key: str, limit: int, ceiling: Column) -
     due = F.col("in_hand") | needs_refresh(F.col("stated"), F.col("stored"), F.col("fetched"), ceiling)
     order = [F.col("fetched").asc_nulls_first(), F.col(key)]
     spare = candidates.where(due & ~F.col("in_hand")).orderBy(*order).limit(limit)
-    queue = candidates.where("in_hand").unionByName(spare)
-    return queue.withColumn("place", F.row_number().over(Window.orderBy(F.col("in_hand").desc(), *order)))
+    queue = candidates.where("in_hand").withColumn("__rank", F.lit(0)).unionByName(spare.withColumn("__rank", F.lit(1)))
+    return numbered(queue, "place", F.col("__rank").asc(), *order).drop("__rank")
 
 
 def changed_in_hand(present: DataFrame, offered: DataFrame, stored: DataFrame, key: str, queued: DataFrame) -> DataFrame:
@@ -75,20 +88,22 @@ def trust_gone(checked: Column, gone: Column) -> Column:
 def event_array(prefix_before: str, prefix_after: str, exists_before: Column) -> Column:
     """The events between two states (structs ``price, area, rooms, availability, status``).
 
-    A new row is ``listed`` and nothing else; leaving is ``delisted`` and nothing else; coming back
-    is ``relisted`` and may change more. A value that is null on either side hasn't changed.
+    A new row is ``listed`` and nothing else; leaving is ``delisted``, with the last price and
+    availability, and nothing else; coming back is ``relisted``, at its price, and may change more. A value that is null on either side hasn't changed.
     """
     b, a = (lambda c: F.col(f"{prefix_before}.{c}")), (lambda c: F.col(f"{prefix_after}.{c}"))
     changed = lambda c: F.coalesce(b(c) != a(c), F.lit(False))
-    none = F.lit(None).cast("double")
+    none, unsaid = F.lit(None).cast("double"), F.lit(None).cast("string")
 
-    def event(kind: str, old: Column = none, new: Column = none, delta: Column = none, percent: Column = none) -> Column:
+    def event(kind: str, old: Column = none, new: Column = none, delta: Column = none, percent: Column = none, was: Column = unsaid, now: Column = unsaid) -> Column:
         return F.struct(
             F.lit(kind).alias("type"),
             old.cast("double").alias("price_from"),
             new.cast("double").alias("price_to"),
             delta.cast("double").alias("delta"),
             percent.cast("double").alias("percent"),
+            was.cast("string").alias("availability_from"),
+            now.cast("string").alias("availability_to"),
         )
 
     delta = a("price") - b("price")
@@ -96,18 +111,19 @@ def event_array(prefix_before: str, prefix_after: str, exists_before: Column) ->
     back = (b("status") == "delisted") & (a("status") == "active")
     later = F.array_compact(
         F.array(
-            F.when(back, event("relisted")),
+            F.when(back, event("relisted", new=a("price"))),
             F.when(changed("price"), event("price_changed", b("price"), a("price"), delta, percent)),
-            F.when(changed("availability"), event("availability_changed")),
+            F.when(changed("availability"), event("availability_changed", was=b("availability"), now=a("availability"))),
             F.when(changed("area") | changed("rooms"), event("updated")),
         )
     )
     gone = F.coalesce((b("status") == "active") & (a("status") == "delisted"), F.lit(False))
-    return F.when(~exists_before, F.array(event("listed", none, a("price")))).when(gone, F.array(event("delisted", b("price")))).otherwise(later)
+    return F.when(~exists_before, F.array(event("listed", none, a("price")))).when(gone, F.array(event("delisted", b("price"), was=b("availability")))).otherwise(later)
 
 
 def compute_events(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """One row per change: key, type, price_from, price_to, delta, percent, direction."""
+    """One row per change: key, type, price_from, price_to, delta, percent, availability_from,
+    availability_to, direction."""
     fields = ["price", "area", "rooms", "availability", "status"]
     old = before.select(key, F.struct(*fields).alias("old"))
     new = after.select(key, F.struct(*fields).alias("new"))

@@ -39,7 +39,7 @@ def compute_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The changes between two states of all orders."""
     before, after = _states(spark, sf_dir)
     out = cdc.compute_events(before, after, "o_orderkey")
-    return out.select("o_orderkey", "type", *(F.round(c, 4).alias(c) for c in ("price_from", "price_to", "delta", "percent")), "direction")
+    return out.select("o_orderkey", "type", *(F.round(c, 4).alias(c) for c in ("price_from", "price_to", "delta", "percent")), "direction", "availability_from", "availability_to")
 
 
 def merge_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,13 +184,14 @@ SELECT plan, count(*) AS n, min(o_orderkey) AS first FROM p GROUP BY 1""",
     "compute_events": f"""
 WITH {_B}, {_A}, j AS (SELECT a.*, b.o_orderkey IS NULL AS fresh, b.price AS p0, b.area AS a0, b.rooms AS r0, b.availability AS v0, b.status AS s0
                        FROM a LEFT JOIN b USING (o_orderkey))
-SELECT o_orderkey, 'listed' AS type, NULL::DOUBLE AS price_from, round(price, 4) AS price_to, NULL::DOUBLE AS delta, NULL::DOUBLE AS percent, NULL AS direction FROM j WHERE fresh
-UNION ALL SELECT o_orderkey, 'delisted', round(p0, 4), NULL, NULL, NULL, NULL FROM j WHERE NOT fresh AND s0 = 'active' AND status = 'delisted'
-UNION ALL SELECT o_orderkey, 'relisted', NULL, NULL, NULL, NULL, NULL FROM j WHERE s0 = 'delisted' AND status = 'active'
-UNION ALL SELECT o_orderkey, 'price_changed', round(p0, 4), round(price, 4), round(price - p0, 4), round((price - p0) / p0 * 100, 2), CASE WHEN price < p0 THEN 'down' ELSE 'up' END
+SELECT o_orderkey, 'listed' AS type, NULL::DOUBLE AS price_from, round(price, 4) AS price_to, NULL::DOUBLE AS delta, NULL::DOUBLE AS percent, NULL AS direction,
+  NULL AS availability_from, NULL AS availability_to FROM j WHERE fresh
+UNION ALL SELECT o_orderkey, 'delisted', round(p0, 4), NULL, NULL, NULL, NULL, v0, NULL FROM j WHERE NOT fresh AND s0 = 'active' AND status = 'delisted'
+UNION ALL SELECT o_orderkey, 'relisted', NULL, round(price, 4), NULL, NULL, NULL, NULL, NULL FROM j WHERE s0 = 'delisted' AND status = 'active'
+UNION ALL SELECT o_orderkey, 'price_changed', round(p0, 4), round(price, 4), round(price - p0, 4), round((price - p0) / p0 * 100, 2), CASE WHEN price < p0 THEN 'down' ELSE 'up' END, NULL, NULL
   FROM j WHERE NOT fresh AND NOT (s0 = 'active' AND status = 'delisted') AND price <> p0
-UNION ALL SELECT o_orderkey, 'availability_changed', NULL, NULL, NULL, NULL, NULL FROM j WHERE NOT (s0 = 'active' AND status = 'delisted') AND availability <> v0
-UNION ALL SELECT o_orderkey, 'updated', NULL, NULL, NULL, NULL, NULL FROM j WHERE NOT (s0 = 'active' AND status = 'delisted') AND (area <> a0 OR rooms <> r0)""",
+UNION ALL SELECT o_orderkey, 'availability_changed', NULL, NULL, NULL, NULL, NULL, v0, availability FROM j WHERE NOT (s0 = 'active' AND status = 'delisted') AND availability <> v0
+UNION ALL SELECT o_orderkey, 'updated', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM j WHERE NOT (s0 = 'active' AND status = 'delisted') AND (area <> a0 OR rooms <> r0)""",
     "merge_parsed": f"""
 WITH {_B}, {_A}, m AS (SELECT coalesce(a.availability, b.availability) AS availability, coalesce(a.status, b.status) AS status, coalesce(a.price, b.price) AS price
                        FROM b LEFT JOIN a USING (o_orderkey))
@@ -240,7 +241,7 @@ SELECT (SELECT count(*) FROM events WHERE event_type NOT IN ('click', 'purchase'
        (SELECT count(*) FROM events AS e WHERE event_type = 'click'
           AND NOT EXISTS (SELECT 1 FROM events AS p WHERE p.user_id = e.user_id AND p.event_type = 'purchase')) AS open""",
     "newest_until_known": """
-WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS place, o_orderkey % 3 = 0 AS known FROM orders QUALIFY place <= 500),
+WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS place, o_orderkey % 3 = 0 AS known FROM orders),
 s AS (SELECT min(place) AS stop FROM (SELECT place, known AND lag(known) OVER (ORDER BY place) AND lag(known, 2) OVER (ORDER BY place) AS hit FROM r) WHERE hit)
-SELECT o_orderkey, place, known FROM r WHERE place <= coalesce((SELECT stop FROM s), 500)""",
+SELECT o_orderkey, place, known FROM r WHERE place <= coalesce((SELECT stop FROM s), place)""",
 }

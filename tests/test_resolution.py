@@ -29,7 +29,8 @@ def test_blocking_loses_nothing(spark):
     pairs = resolution.candidate_pairs(ready)
     every = rows.select(F.col("id").alias("a"), "place").crossJoin(rows.select(F.col("id").alias("b"), F.col("place").alias("q"))).where("a < b AND coalesce(place = q, true)").select("a", "b")
     same = lambda p: {(r.a, r.b) for r in resolution.score_pairs(p, ready).where("same").collect()}
-    assert same(pairs) == same(every) != set()
+    assert same(pairs) == same(every) == same(resolution.acceptable_pairs(ready)) != set()
+    assert resolution.acceptable_pairs(ready).count() < pairs.count()
     assert pairs.count() == pairs.distinct().count() < every.count()
 
 
@@ -48,6 +49,7 @@ BASE = ("a", "s1", "p", 1e6, 200.0, 1000.0, 5, "Maison", "ag", None, "Belle vill
         ({"description": "autre chose", "land": 5000.0}, (False, "none")),
         ({"description": "autre chose", "price": None}, (False, "none")),
         ({"ref": "m1", "price": 3e6}, (False, "price")),
+        ({"description": None, "price": None}, (False, "none")),
     ],
 )
 def test_pair_score(spark, change, want):
@@ -56,6 +58,16 @@ def test_pair_score(spark, change, want):
     ready = resolution.prepared(spark.createDataFrame([BASE, tuple(other[n] for n in names)], SCHEMA))
     row = resolution.score_pairs(spark.createDataFrame([("a", "b")], "a string, b string"), ready).first()
     assert (row.same, row.reason) == want
+    if change.get("description", "") is None:
+        assert row.confidence == 0.0  # too short to tell, however alike
+
+
+def test_equal_short_texts_are_no_evidence(spark):
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    make = lambda i, **change: tuple((dict(zip(names, BASE)) | {"id": i, "description": "même texte", "price": None, "area": None, **change})[n] for n in names)
+    ready = resolution.prepared(spark.createDataFrame([make("a"), make("b", source="s2"), make("c", description=BASE[-1][:140])], SCHEMA))
+    got = {(r.a, r.b): (r.same, r.confidence, r.reason) for r in resolution.score_pairs(spark.createDataFrame([("a", "b"), ("a", "c")], "a string, b string"), ready).collect()}
+    assert got == {("a", "b"): (False, 0.0, "none"), ("a", "c"): (False, 0.0, "none")}
 
 
 def test_references_decide(spark):
