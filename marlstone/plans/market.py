@@ -11,6 +11,7 @@ from marlstone.operators import latest, scope
 from marlstone.sources.tables import table
 
 AS_OF = "2001-08-02"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def _tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
@@ -236,7 +237,7 @@ def page_host(spark: SparkSession, sf_dir: str) -> DataFrame:
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables and their rows."""
     out = None
-    for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
+    for n in TABLES:
         row = table(spark, sf_dir, n).agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n")
         out = row if out is None else out.union(row)
     return out
@@ -349,5 +350,5 @@ UNION ALL SELECT k, 'suppliers' FROM (FROM s EXCEPT FROM c)""",
     "page_host": """
 WITH h AS (SELECT regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '^www\\.', '') AS host FROM pages)
 SELECT string_split(host, '.')[-2] AS site, count(*) AS n, count(DISTINCT host) AS hosts FROM h GROUP BY 1""",
-    "catalogue": " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")),
+    "catalogue": " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in TABLES),
 }

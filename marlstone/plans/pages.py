@@ -31,7 +31,7 @@ def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wrapped_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders written as JSON-LD pages and read back: nodes by type."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey <= 500")
+    o = table(spark, sf_dir, "orders")
     body = F.format_string(
         '<html><script type="application/ld+json">{"@graph":[{"@type":"Product","sku":"%s","offers":{"price":%s}},{"@type":["Place","Thing"],"name":"%s"}]}</script>'
         '<script type="application/ld+json">{broken</script></html>',
@@ -64,8 +64,11 @@ QUERIES = {f.__name__: f for f in (page_title, page_links, page_headings, wrappe
 _DECODED = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
 ORACLES = {
     "page_title": f"SELECT page_id, trim({_DECODED.format("regexp_extract(html, '<title>(.*?)</title>', 1, 'is')")}) AS title FROM pages",
+    "page_headings": f"""
+WITH h AS (SELECT page_id, regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 'is') AS h FROM pages WHERE regexp_matches(html, '<h1[^>]*>.*?</h1>', 'is'))
+SELECT page_id, trim(regexp_replace({_DECODED.format("regexp_replace(h, '<[^>]+>', '', 'g')")}, '\\s+', ' ', 'g')) AS heading FROM h""",
     "page_links": """SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages""",
-    "wrapped_nodes": "SELECT o_orderkey, o_totalprice AS price FROM orders WHERE o_orderkey <= 500",
+    "wrapped_nodes": "SELECT o_orderkey, o_totalprice AS price FROM orders",
     "sitemap_walk": "SELECT DISTINCT url AS loc, '2024-01-01' AS lastmod FROM pages",
     "embedding_profile": "SELECT label, count(*) AS n, max(len(embedding)) AS dims, round(avg(embedding[1]::DOUBLE), 6) AS mean_first FROM embeddings GROUP BY 1",
 }

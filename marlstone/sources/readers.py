@@ -147,27 +147,47 @@ def primary_nodes(nodes: DataFrame, page: str) -> DataFrame:
     return nodes.withColumn("__kind", rank).where("__kind IS NOT NULL").withColumn("__rank", F.row_number().over(order)).where("__rank = 1").drop("__rank", "__kind")
 
 
-def resolved_payload(raw: str, most: int = 100_000) -> object:
+#: Names that a payload puts before the place of what it wraps (fixed values).
+WRAPPERS = frozenset(
+    "ShallowReactive Reactive Ref ShallowRef EmptyRef EmptyShallowRef Date Set Map BigInt RegExp URL URLSearchParams NuxtError Object".split()
+)
+
+
+def resolved_payload(raw: str) -> object:
     """A flat payload, whose whole numbers inside lists and objects point to places of one list, as
-    plain data; wrappers (a name, then a place) are opened, and a place within itself is null."""
+    plain data; wrappers (a name, then a place) are opened, and a place within itself is null.
+
+    What a place stands for is remembered unless a circle went through it, so parts that are pointed to
+    many times cost once, and no number of steps is too many.
+    """
     flat = json.loads(raw)
-    wrappers, steps = {"Reactive", "ShallowReactive", "Ref", "ShallowRef", "EmptyRef"}, 0
+    known: dict[int, object] = {}
+
+    def at(place: object, path: tuple[int, ...]) -> tuple[object, int]:
+        """(value, how near the root a circle closed; past the path's end if none did)."""
+        if isinstance(place, bool) or not isinstance(place, int) or not 0 <= place < len(flat):
+            return None, len(path)
+        if place in known:
+            return known[place], len(path)
+        if place in path:
+            return None, path.index(place)
+        value, deeper, low = flat[place], (*path, place), len(path) + 1
+
+        def part(x: object) -> object:
+            nonlocal low
+            got, nearest = at(x, deeper)
+            low = min(low, nearest)
+            return got
 
-    def at(place: object, path: frozenset[int]) -> object:
-        nonlocal steps
-        steps += 1
-        if isinstance(place, bool) or not isinstance(place, int) or not 0 <= place < len(flat) or place in path or steps > most:
-            return None
-        value, deeper = flat[place], path | {place}
         if isinstance(value, list):
-            if len(value) == 2 and isinstance(value[0], str) and value[0] in wrappers:
-                return at(value[1], deeper)
-            return [at(x, deeper) for x in value]
-        if isinstance(value, dict):
-            return {k: at(v, deeper) for k, v in value.items()}
-        return value
-
-    return at(0, frozenset()) if isinstance(flat, list) and flat else None
+            out: object = part(value[1]) if len(value) == 2 and isinstance(value[0], str) and value[0] in WRAPPERS else [part(x) for x in value]
+        else:
+            out = {k: part(v) for k, v in value.items()} if isinstance(value, dict) else value
+        if low >= len(path):
+            known[place] = out
+        return out, low
+
+    return at(0, ())[0] if isinstance(flat, list) and flat else None
 
 
 @pandas_udf(StringType())

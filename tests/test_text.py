@@ -1,3 +1,4 @@
+import json
 import random
 import unicodedata
 
@@ -52,6 +53,7 @@ def test_names_titles_sites(spark):
     got = values(spark, F.struct(attributes.alias("a"), flags.alias("f")), [["Vue : mer", "Alarme :", "Piscine", "Vue : mer", "Vue : port", " "]], "array<string>")[0]
     assert got.a == {"Vue": "port"} and got.f == ["Alarme", "Piscine"]
     assert values(spark, T.money(x), [9_500_000.0, 2_000_000.0, 1_250_000.0, 950_000.0, 1_999.0], "double") == ["9.5 M€", "2 M€", "1.25 M€", "950 k€", "2 k€"]
+    assert values(spark, T.money(x), [1_999_999.0, 3e6], "double") == ["2.0 M€", "3 M€"]
     assert values(spark, T.percent(x), [0.25, 0.1234, 1.0], "double") == ["25 %", "12.3 %", "100 %"]
     assert values(spark, T.block_page(x), ["<p>Captcha</p>", "fine", None]) == ["captcha", None, None]
 
@@ -61,6 +63,11 @@ def test_garbled_text(spark):
     texts = [bad, "été", None, "’".encode().decode("cp1252"), "Ã "]
     assert values(spark, T.has_mojibake(F.col("x")), texts) == [True, False, False, True, False]
     assert values(spark, T.repair_mojibake(F.col("x")), texts) == ["été", "été", None, "’", "à"]
+    odd = ["É’", "Ãx", "ð\x9f\x98\x80", "Å’uvre", "â€x", "Ã\x8d plus", "ÂÃ©"]
+    assert [T.repaired(t) for t in odd] == ["É’", "Ãx", "😀", "Œuvre", "â€x", "Í plus", "Âé"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + ["â€x"])], "i int, x string")
+    assert [r.x for r in T.with_repaired(df, "x").orderBy("i").collect()] == ["été", "été", None, "’", "Ã ", "â€x"]
+    assert [r.i for r in T.beyond_repair(df, "x").collect()] == [5]
 
 
 def test_dates(spark):
@@ -87,6 +94,10 @@ def test_readers(spark):
     elements = readers.html_elements(html, "id")
     assert readers.labelled(elements, "id", "area").collect() == [(1, "12 m²")]
     assert readers.resolved_payload('[{"a":1,"b":2},[3],["Ref",3],"x"]') == {"a": ["x"], "b": "x"}
+    twice = '[{"a":1,"b":1,"c":2},[3,3,3],{"up":0,"s":3},["Map",4],"x"]'
+    assert readers.resolved_payload(twice) == {"a": ["x"] * 3, "b": ["x"] * 3, "c": {"up": None, "s": "x"}}
+    deep = [[i + 1, i + 1] for i in range(40)] + ["end"]  # 2 ** 40 ways to the end
+    assert str(readers.resolved_payload(json.dumps(deep[:12] + ["end"]))).count("end") == 2**12 and readers.resolved_payload(json.dumps(deep)) is not None
     assert values(spark, readers.canonical_json(F.col("x")), ['{"b": 1, "a": [2]}', "bad", None]) == ['{"a":[2],"b":1}', None, None]
     links = spark.createDataFrame([(1, 'x data-o="aHR0cHM6Ly9hL2I=" data-o="aHR0cHM6Ly9hL2I=" data-o="Yg=="')], "id int, body string")
     assert readers.encoded_links(links, "id").collect() == [(1, "https://a/b")]
