@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import covered, partitions, sliced, window_hashes
+from marlstone.llm.common import covered, only, partitions, sliced, window_hashes
 
 _ANCHOR, _LOW, _HIGH = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 
@@ -273,7 +273,9 @@ def cut_repeats(docs: DataFrame, cover: Cover = Cover()) -> DataFrame:
     ids lose nothing; very long texts are read whole; an empty table gives no rows; other columns are
     ignored.
     """
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    every = only(docs, "doc_id", "text")
+    if docs.schema["doc_id"].dataType.simpleString() != "bigint":
+        every = every.withColumn("doc_id", F.col("doc_id").cast("long"))
     docs = every.where("doc_id IS NOT NULL")  # both joins then read one exchange of the texts
     starts = repeated_starts(docs, cover)
 
