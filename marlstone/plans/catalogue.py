@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.plans import changes, entities, market, pages, people
+from marlstone.plans import changes, entities, market, pages, people, serving
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for _module in (market, changes, entities, people, pages):
+for _module in (market, changes, entities, people, pages, serving):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
