@@ -103,3 +103,13 @@ def land_out_of_area(kind: Column, area: Column, land: Column) -> Column:
 def sane(value: Column, most: float) -> Column:
     """A finite figure from 0 to ``most``; else null."""
     return F.when(~F.isnan(value.cast("double")) & value.between(0, most), value)
+
+
+def scope_decision(known: Column, user_active: Column, client: Column, client_active: Column) -> Column:
+    """Why a reader is refused, the first reason that holds; null if none does. Nobody without a client reads."""
+    return (
+        F.when(~F.coalesce(known, F.lit(False)), "unknown user")
+        .when(~F.coalesce(user_active, F.lit(False)), "inactive user")
+        .when(F.nullif(client, F.lit("")).isNull(), "no client")
+        .when(~F.coalesce(client_active, F.lit(False)), "inactive client")
+    )
