@@ -300,9 +300,9 @@ SELECT k AS s_suppkey, b >= 20 AND f / b < 0.5 AS abort, b < 20 OR (b - d) / b <
 WITH o AS (SELECT o_orderkey AS id, o_custkey % 25 AS place, o_orderdate AS seen FROM orders),
 v AS (SELECT id FROM o WHERE place < 5 AND id % 3 <> 0 AND seen < '1998-01-01' ORDER BY seen, id LIMIT 50)
 SELECT 'fetch' AS step, count(*) AS n, sum(id)::BIGINT AS sum FROM o WHERE NOT (id % 3 = 0 AND id % 4 < 2) UNION ALL SELECT 'left ' || CASE id % 4 WHEN 0 THEN 'x' ELSE 'y' END, count(*), NULL FROM o WHERE id % 3 = 0 AND id % 4 < 2 GROUP BY 1
-UNION ALL SELECT 'changed', count(*), sum(id) FROM o WHERE id % 2 = 0 AND id % 7 <> 0 AND id % 10 <> 0 AND id % 11 <> 0 AND id % 7 IS DISTINCT FROM CASE WHEN id % 5 <> 0 THEN id % 5 END
-UNION ALL SELECT 'shielded', count(*), sum(id) FROM o WHERE place < 5 UNION ALL SELECT 'verify', count(*), sum(id) FROM v UNION ALL SELECT 'inserted', count(*), sum(id) FROM o WHERE id % 2 = 0 OR id % 3 = 0
-UNION ALL SELECT 'retained', count(*), sum(id) FROM o WHERE seen >= TIMESTAMP '2001-08-02' - INTERVAL 400 DAY UNION ALL SELECT 'since', count(*), sum(id) FROM o WHERE seen >= TIMESTAMP '2001-01-01' - INTERVAL 7 HOUR""",
+UNION ALL SELECT 'changed', count(*), sum(id)::BIGINT FROM o WHERE id % 2 = 0 AND id % 7 <> 0 AND id % 10 <> 0 AND id % 11 <> 0 AND id % 7 IS DISTINCT FROM CASE WHEN id % 5 <> 0 THEN id % 5 END
+UNION ALL SELECT 'shielded', count(*), sum(id)::BIGINT FROM o WHERE place < 5 UNION ALL SELECT 'verify', count(*), sum(id)::BIGINT FROM v UNION ALL SELECT 'inserted', count(*), sum(id)::BIGINT FROM o WHERE id % 2 = 0 OR id % 3 = 0
+UNION ALL SELECT 'retained', count(*), sum(id)::BIGINT FROM o WHERE seen >= TIMESTAMP '2001-08-02' - INTERVAL 400 DAY UNION ALL SELECT 'since', count(*), sum(id)::BIGINT FROM o WHERE seen >= TIMESTAMP '2001-01-01' - INTERVAL 7 HOUR""",
     "delisted_events": """
 SELECT 'delisted' AS type, o_orderpriority AS last_availability, count(*) AS n, (SELECT count(*) FROM orders WHERE o_orderkey % 4 = 0 OR o_orderkey % 6 = 0) AS gone FROM orders WHERE o_orderkey % 6 = 0 AND o_orderkey % 4 <> 0 GROUP BY 2""",
     "retry_sources": """
