@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import SPACE, written
+from marlstone.sources.tables import spread, table
 
 _BLANKS = " \t\n\x0b\x0c\r"
 #: A fingerprint is two majority hashes of 64 bits, cut in blocks of 16 (fixed values).
@@ -218,7 +219,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, p: Leaks = Leaks()) -> Dat
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of all of ``benchmark`` held by all ``documents``."""
-    return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return find_leaks(spread(table(spark, sf_dir, "documents")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 #: DuckDB SQL of the whole result: windows of an item's size on or between alignments of shared shingles.

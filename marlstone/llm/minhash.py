@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import mixed, only, sliced, window_hashes, word_hashes, written
 from marlstone.operators.components import connected_components
+from marlstone.sources.tables import spread, table
 
 _BASE = 0x9E3779B97F4A7C15
 
@@ -284,7 +285,7 @@ def keep_one(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> DataFrame
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates of all ``documents`` over lower-cased two-word shingles."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), NearDuplicates(words=2, fold_case=True))
+    return near_duplicates(spread(table(spark, sf_dir, "documents")), NearDuplicates(words=2, fold_case=True))
 
 
 #: DuckDB SQL of the whole result: all pairs that share a shingle and are near in size, on full sets.

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import only, sliced, written
+from marlstone.sources.tables import spread, table
 
 #: Pieces that one task packs at a time, on average.
 GROUP = 20_000
@@ -302,4 +303,4 @@ def default_tokenizer() -> str:
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` packed into sequences of 1024 tokens."""
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_tokenizer())
+    return pack(spread(table(spark, sf_dir, "documents")), default_tokenizer())

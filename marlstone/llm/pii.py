@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import joined_spans, only, sliced
+from marlstone.sources.tables import spread, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The field's labels; spans of the last two are added to the patterns'.
@@ -521,4 +522,4 @@ def mask_pii(docs: DataFrame) -> DataFrame:
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all ``documents``."""
-    return find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return find_pii(spread(table(spark, sf_dir, "documents")))

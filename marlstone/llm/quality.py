@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm.common import covered, only, sliced, window_hashes
+from marlstone.sources.tables import spread, table
 
 SYMBOLS = b"#*$%&|<>"
 SYMBOL_CHARS = tuple(bytes([c]) for c in SYMBOLS)
@@ -149,7 +150,7 @@ def _id_type(df: DataFrame) -> str:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules over all of ``documents``."""
-    return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return quality_rules(spread(table(spark, sf_dir, "documents")))
 
 
 #: DuckDB SQL of the base figures (all columns but the compression verdict).

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import only
+from marlstone.sources.tables import spread, table
 
 KINDS = ("assign", "access", "hex")
 #: kind -> (expression, group whose length counts, least length); no expression matches emptily.
@@ -188,4 +189,4 @@ def find_secrets(docs: DataFrame, samples: DataFrame | None = None, margin: floa
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all ``documents``."""
-    return find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return find_secrets(spread(table(spark, sf_dir, "documents")))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import covered, only, partitions, sliced, window_hashes
+from marlstone.sources.tables import spread, table
 
 _ANCHOR, _LOW, _HIGH = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 
@@ -305,7 +306,7 @@ def cut_repeats(docs: DataFrame, cover: Cover = Cover()) -> DataFrame:
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeats of 13 words or more cut from all ``documents``."""
-    return cut_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+    return cut_repeats(spread(table(spark, sf_dir, "documents"))).drop("kept")
 
 
 #: DuckDB SQL of the whole result.
