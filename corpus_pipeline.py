@@ -1,7 +1,8 @@
 """Corpus preparation: quality rules, near-duplicate removal, decontamination, masking, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the
-last give the columns of ``documents``.
+last give the columns of ``documents``, other columns included if the table has any. No stage
+needs unique or known ids, and an empty table comes out empty.
 """
 
 from __future__ import annotations
@@ -17,27 +18,32 @@ from marlstone.llm.quality import keep_good
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the compression bands."""
+    """Documents that pass the base rules and the compression bands. Null, empty and short texts go;
+    very long ones are judged whole and by pieces; repeated rows are judged each."""
     return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more)."""
+    """One document, the smallest id, of each group of near copies (five-word shingles, similarity 0.8
+    or more). Texts without a word, and rows without an id, stay; of rows that share an id all stay
+    or go; very long texts count with all their shingles."""
     return keep_one(docs, NearDuplicates(words=5))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark. Null and blank texts, and rows without an id, stay;
+    rows that share an id go together; very long texts are searched whole."""
     return keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data masked."""
+    """All documents, personal data masked. A null text stays null; repeated rows are masked alike."""
     return mask_pii(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces in sequences of 1024."""
+    """Token pieces in sequences of 1024. A null text counts as empty, one piece; repeated rows are
+    packed each; longer texts are cut into pieces."""
     return pack(docs, default_tokenizer())
 
 
@@ -49,8 +55,8 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Compression, hashing searches, trained models and tokenizers are beyond SQL; tests/llm/test_pipeline.py
-#: holds each stage to a brute-force version.
+#: Compression, trained models and tokenizers are beyond SQL; tests/llm/test_pipeline.py holds each stage
+#: to a brute-force version.
 ORACLE_SQL: str | None = None
 
 
