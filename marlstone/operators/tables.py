@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The folders that each application's operators have asked for.
+_FOLDERS: dict[str, list[str]] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder's path below ``spark.checkpoint.dir``, which driver and executors all see.
 
@@ -22,7 +26,19 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
         context.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/marlstone-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/marlstone-{uuid.uuid4().hex}"
+    _FOLDERS.setdefault(context.applicationId, []).append(folder)
+    return folder
+
+
+def removed(spark: SparkSession) -> int:
+    """Removes the folders that this session's operators have written below ``spark.checkpoint.dir``, and
+    gives their number. Results that haven't been read yet are gone then, so it is the caller's to ask."""
+    count = 0
+    for folder in _FOLDERS.pop(spark.sparkContext.applicationId, []):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        count += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return count
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import buyers, cdc, health, resolution
 from marlstone.operators.latest import upper_middle, worst
-from marlstone.operators.resolution import coherent_parts, incoherent, outliers
 from marlstone.operators.scope import decode_cursor, free_text, sane, within
 from marlstone.streaming import windows
 
@@ -78,14 +77,41 @@ def test_references_decide(spark):
     assert got == {("a", "b"): (True, 1.0, "ref"), ("a", "c"): (False, 0.0, "ref_conflict")}
 
 
-def test_guards():
-    assert outliers([("a", 100.0), ("b", 101.0), ("c", 200.0), ("d", None)], 0.35) == {"c"}
-    assert outliers([("a", 100.0), ("b", 109.0), ("c", 119.0)], 0.10, 0.30) == set()
-    assert outliers([("a", 100.0), ("b", 109.0), ("c", 119.0)], 0.10) == {"c"}
-    row = lambda i, price, area: {"id": i, "price": price, "area": area, "land": None, "kind": "Maison", "flat": False}
-    assert incoherent([row("a", 1.0, 100.0), row("b", 1.0, 150.0), row("c", 1.0, 101.0)]) == {"b"}
-    parts = coherent_parts([row("a", 1.0, 100.0), row("b", 9.0, 100.0), row("c", 1.0, 100.0), row("d", 9.0, 100.0), row("e", 1.0, 100.0)], [("a", "b"), ("b", "d"), ("a", "c")])
-    assert sorted(sorted(m["id"] for m in p) for p in parts) == [["a", "c", "e"], ["b", "d"]]
+MEMBER = "part string, id string, price double, area double, land double, kind string, flat boolean"
+
+
+def leavers(spark, rows):
+    return {r.id for r in resolution.with_leavers(spark.createDataFrame(rows, MEMBER)).where("leaves").collect()}
+
+
+def test_guards(spark):
+    row = lambda part, i, price=None, area=None, land=None, kind="Maison", flat=False: (part, f"{part}{i}", price, area, land, kind, flat)
+    rows = [row("p", 1, 100.0), row("p", 2, 101.0), row("p", 3, 200.0), row("p", 4)]
+    rows += [row("q", i, area=a, land=x) for i, a, x in ((1, 100.0, 100.0), (2, 109.0, 300.0), (3, 119.0, 900.0))]  # plots disagree: 10 %
+    rows += [row("c", i, area=a) for i, a in ((1, 100.0), (2, 115.0), (3, 130.0))]  # a chain of 30 %, none beyond 20 % of the middle
+    rows += [row("f", i, area=a, flat=True) for i, a in ((1, 100.0), (2, 101.0), (3, 108.0))]
+    rows += [row("a", 1, 1.0, 100.0), row("a", 2, 1.0, 150.0), row("a", 3, 1.0, 101.0), row("b", 1, 5.0, 10.0), row("b", 2, 9.0, 90.0)]
+    rows += [row("w", i, price=v) for i, v in enumerate((100.0, 120.0, 150.0, 154.0))]  # none beyond 35 % of 150, the span is: cut at the widest step
+    assert leavers(spark, rows) == {"p3", "q3", "f3", "a2", "b1", *widest_step([100.0, 120.0, 150.0, 154.0], "w")}
+
+
+def widest_step(values, part):
+    """The side of the widest relative step that the upper middle isn't on; by the rule in words."""
+    middle = sorted(values)[len(values) // 2]
+    if any(abs(v - middle) / max(v, middle) > 0.35 for v in values) or (max(values) - min(values)) / max(values) <= 0.35:
+        return {f"{part}{i}" for i, v in enumerate(values) if abs(v - middle) / max(v, middle) > 0.35}
+    k = max(range(1, len(values)), key=lambda i: (values[i] - values[i - 1]) / values[i])
+    return {f"{part}{i}" for i in range(len(values)) if (i < k) == (middle >= values[k])}
+
+
+def test_parts_are_cut_until_nothing_leaves(spark):
+    rows = [("x", i, p, 100.0, None, "Maison", False) for i, p in (("a", 1.0), ("b", 9.0), ("c", 1.0), ("d", 9.0), ("e", 1.0), ("f", 40.0))]
+    edges = spark.createDataFrame([("a", "b"), ("b", "d"), ("a", "c"), ("d", "f"), ("c", "e")], "a string, b string")
+    got = {}
+    for r in resolution.coherent_parts(spark.createDataFrame(rows, MEMBER), edges).collect():
+        got.setdefault(r.cluster, set()).add(r.id)
+    # 9 is the upper middle, so 1 and 40 leave; a, c and e stay together by their edges
+    assert sorted(map(sorted, got.values())) == [["a", "c", "e"], ["b", "d"], ["f"]]
 
 
 def test_clusters_and_survivors(spark):
@@ -94,10 +120,11 @@ def test_clusters_and_survivors(spark):
     scored = resolution.score_pairs(resolution.candidate_pairs(ready), ready).cache()
     got = resolution.clusters(ready, scored).toPandas()
     assert len(got) == 160 and (got.cluster <= got.id).all()
-    data = {r.id: r for r in ready.collect()}
-    for _, part in got.groupby("cluster"):
-        members = [data[i].asDict() for i in part.id]
-        assert not incoherent(members)
+    parts = spark.createDataFrame(got[["id", "cluster"]]).withColumnRenamed("cluster", "part").join(ready, "id")
+    assert resolution.with_leavers(parts).where("leaves").count() == 0
+    edges = {(r.a, r.b) for r in scored.where("same AND confidence >= 0.8").collect()}
+    name = dict(zip(got.id, got.cluster))
+    assert len(edges) > 100 and sum(name[a] == name[b] for a, b in edges) > 0.5 * len(edges)
     at = F.lit("2024-01-01").cast("timestamp")
     best = resolution.survivors(rows.join(spark.createDataFrame(got[["id", "cluster"]]), "id").withColumns({"first_seen": at, "last_seen": at}))
     assert best.count() == got.cluster.nunique()
@@ -223,3 +250,13 @@ def test_streams(spark, tmp_path):
     assert sorted((r.place, str(r.mark)) for r in windows.advanced_marks(marks, passes).collect()) == [("p", "2024-01-03"), ("q", "2024-01-05"), ("r", "2024-01-01")]
 
 
+
+
+def test_written_tables_can_be_removed(spark):
+    from pathlib import Path
+
+    from marlstone.operators.tables import removed, written
+
+    df = written(spark.range(5))
+    folder = Path(df.inputFiles()[0].removeprefix("file://")).parent
+    assert folder.exists() and removed(spark) >= 1 and not folder.exists()
