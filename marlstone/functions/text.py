@@ -374,3 +374,19 @@ def block_page(body: Column, markers: tuple[str, ...] = ("captcha", "access deni
     """The first marker of a blocking page within its first 4000 characters."""
     head = F.lower(F.substring(body, 1, 4000))
     return F.coalesce(*(F.when(head.contains(m), F.lit(m)) for m in markers))
+
+
+def portal_named(key: Column, names: dict[str, str], other: str = "agency sites") -> Column:
+    """How a portal's key is shown; those that have no name are one group."""
+    shown = F.lit(None).cast("string")
+    for k, name in names.items():
+        shown = F.when(key == k, F.lit(name)).otherwise(shown)
+    return F.when(key.isNotNull(), F.coalesce(shown, F.lit(other)))
+
+
+def json_merged(old: Column, new: Column) -> Column:
+    """Two JSON objects as one, the new one's fields first in right; null where one isn't an object."""
+    entries = lambda j: F.map_entries(F.from_json(j, "map<string,variant>", {"mode": "PERMISSIVE"}))
+    mine, theirs = entries(new), entries(old)
+    kept = F.filter(theirs, lambda e: ~F.exists(mine, lambda m: m["key"] == e["key"]))
+    return F.to_json(F.map_from_entries(F.concat(kept, mine)))

@@ -216,3 +216,13 @@ def moving_whole(listings: DataFrame, entity: str, place: str, new_place: str) -
         F.max(place).alias(place),
     )
     return one.where((F.col("n") == 1) & ~F.col(new_place).eqNullSafe(F.col(place))).select(entity, place, new_place)
+
+
+def taken_over(stored: DataFrame, incoming: DataFrame, reposts_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(stored rows that go on under a new id, events): a repost (id, repost_of) takes its stored row over,
+    with the history's ``first_seen``; two reposts of one row don't share it, the smaller id gets it."""
+    one = reposts_.groupBy("repost_of").agg(F.min("id").alias("id"))
+    old = stored.select(F.col("id").alias("repost_of"), "first_seen", F.col("status").alias("was"))
+    rows = incoming.drop("first_seen").join(one, "id").join(old, "repost_of").withColumn("status", F.lit("active"))
+    events = rows.where("was = 'delisted'").select("id", F.lit("relisted").alias("type"), F.col("price").alias("price_to"), "repost_of")
+    return rows.drop("was"), events

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.plans import changes, entities, facts, market, pages, people, serving
+from marlstone.plans import audits, changes, entities, facts, market, pages, people, serving
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for _module in (market, changes, entities, people, pages, serving, facts):
+for _module in (market, changes, entities, people, pages, serving, facts, audits):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

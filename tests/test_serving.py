@@ -102,3 +102,27 @@ def test_similar_pairs_are_all_pairs(spark):
                         want[i, j] = round(x, 9)
         got = {(x.a, x.b): round(x.similarity, 9) for x in similar.similar_pairs(df, least, contained).collect()}
         assert got == want and len(want) > 5
+
+
+def test_search_answers(spark):
+    from marlstone.sources import adapters
+
+    body = '{"total":4,"ads":[{"id":1,"city":"p","price":5.0,"seen":1},{"id":2,"city":"q","price":null,"seen":1}]}'
+    again = '{"total":4,"ads":[{"id":1,"city":"p","price":5.0,"seen":2}]}'
+    df = spark.createDataFrame([("s", "p", 0, body), ("s", "p", 1, again), ("s", "r", 0, "{bad"), ("s", "t", 0, None)], "source string, place string, page int, body string")
+    records = adapters.search_records(df, "ads", "total", "id long, city string, price double, seen int")
+    got = adapters.search_listings(records, {"title": F.col("r.city"), "price": F.col("r.price")}, F.col("r.id"), F.col("r.city") == F.col("place"), ["seen"]).collect()
+    assert [(g.key, g.f.price, g.result.status, g.result.missing) for g in got] == [("1", 5.0, "partial", ["area", "agency"])]
+    hashes = records.where("r.id = 1").select(adapters.readers.stable_hash(F.col("r"), ["seen"]).alias("h")).distinct()
+    assert hashes.count() == 1  # a view counter is no change
+    assert {r.place: (r.read, r.complete) for r in adapters.search_completeness(records).collect()} == {"p": (3, False), "r": (0, True), "t": (0, True)}
+    assert adapters.search_completeness(records, 1).where("place = 'p'").first().complete
+
+
+def test_pages_as_listings(spark):
+    from marlstone.sources import adapters
+
+    ld = '<script type="application/ld+json">{"@type":"Product","name":"Villa","offers":{"price":"1,500,000","priceCurrency":"%s"}}</script><dl><dt>Surface :</dt><dd>120 m²</dd></dl>'
+    df = spark.createDataFrame([(1, "u", ld % "EUR"), (2, "u", ld % "USD"), (3, "u", "<title>Studio</title>"), (4, "u", "<p>x</p>"), (5, "u", None)], "key int, url string, body string")
+    got = {g.key: (g.f.title, g.f.price, g.f.area, g.f.kind, g.result.status) for g in adapters.page_listings(df, {"area": "surface"}).collect()}
+    assert got == {1: ("Villa", 1500000.0, 120.0, "Maison", "partial"), 2: ("Villa", None, 120.0, "Maison", "partial"), 3: ("Studio", None, None, "Appartement", "partial"), 4: (None, None, None, None, "failed"), 5: (None, None, None, None, "failed")}
