@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.operators.tables import written
+from marlstone.operators.tables import joined_back, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -13,7 +13,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Edges may repeat, point either way or join a node to itself; rows with a null end are ignored,
     and no edges give no rows. Every round is a grouped minimum and a join, and is written to the
-    shared folder; nothing is collected but one checksum a round.
+    shared folder; nothing is collected but a checksum and two counts a round. A node with very many
+    edges isn't gathered in one task.
     """
     pairs = (
         edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
@@ -23,12 +24,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     pairs, before = written(pairs), None
     while True:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")))
+        total = least.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+        large = joined_back(both.where("v > u"), least, "u", "n", total)
+        large = written(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        total = low.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
         small = (
-            large.join(low, "u")
+            joined_back(large, low, "u", "n", total)
             .select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
             .select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
             .where("u <> v")

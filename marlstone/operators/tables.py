@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: The folders that each application's operators have asked for.
@@ -47,3 +48,17 @@ def written(df: DataFrame) -> DataFrame:
     path = shared_folder(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: A key is hot with over a thousandth of all rows, and over so many; there are fewer than a thousand.
+HOT_SHARE, HOT_ROWS = 1000, 1000
+
+
+def joined_back(rows: DataFrame, per: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` with what ``per`` says of each key, a row a key, its rows in column ``count`` (left out). Hot
+    keys' rows stay where they are and get theirs by a broadcast of fewer than a thousand rows; the
+    others meet by a shuffle, in which no key is hot."""
+    hot = per.where(F.col(count) > max(HOT_ROWS, total // HOT_SHARE)).drop(count)
+    few = F.broadcast(hot)
+    usual = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(per.drop(count), key)
+    return rows.join(few, key).unionByName(usual)

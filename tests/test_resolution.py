@@ -260,3 +260,16 @@ def test_written_tables_can_be_removed(spark):
     df = written(spark.range(5))
     folder = Path(df.inputFiles()[0].removeprefix("file://")).parent
     assert folder.exists() and removed(spark) >= 1 and not folder.exists()
+
+
+def test_hot_keys_are_joined_where_they_are(spark, monkeypatch):
+    from marlstone.operators import components, tables
+
+    monkeypatch.setattr(tables, "HOT_ROWS", 5)
+    r = random.Random(2)
+    edges = [(0, i) for i in range(1, 60)] + [(100 + i, 100 + r.randrange(i)) for i in range(1, 40)] + [(300 + i, 301 + i) for i in range(30)]
+    got = {x.node: x.component for x in components.connected_components(spark.createDataFrame(edges, "a int, b int")).collect()}
+    assert got == {n: 0 for n in range(60)} | {n: 100 for n in range(100, 140)} | {n: 300 for n in range(300, 331)}
+    rows = spark.createDataFrame([("hot", i) for i in range(20)] + [("cold", 1), ("none", 2)], "k string, v int")
+    per = spark.createDataFrame([("hot", "x", 20), ("cold", "y", 1)], "k string, w string, n int")
+    assert sorted(map(tuple, tables.joined_back(rows, per, "k", "n", 21).collect())) == [("cold", 1, "y")] + [("hot", i, "x") for i in range(20)]
