@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import mixed, only, sliced, window_hashes, word_hashes, written
 from marlstone.operators.components import connected_components
+from marlstone.operators.tables import joined_back
 from marlstone.sources.tables import spread, table
 
 _BASE = 0x9E3779B97F4A7C15
@@ -201,8 +202,10 @@ def links(members: DataFrame, texts: DataFrame, sizes: DataFrame, p: NearDuplica
 
 def _blocked(members: DataFrame, texts: DataFrame, p: NearDuplicates) -> DataFrame:
     """(group, block, ids, texts) of members (group, doc), dealt to blocks of bounded expected size."""
-    sized = members.groupBy("group").agg(F.ceil(F.count("*") / p.block).alias("blocks"))
-    dealt = members.join(sized, "group").select("group", "doc", F.pmod(F.xxhash64("doc"), "blocks").alias("block"))
+    members = written(members)
+    sized = written(members.groupBy("group").agg(F.ceil(F.count("*") / p.block).alias("blocks"), F.count("*").alias("n")))
+    total = sized.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    dealt = joined_back(members, sized, "group", "n", total).select("group", "doc", F.pmod(F.xxhash64("doc"), "blocks").alias("block"))
     dealt = dealt.join(texts.select(F.col("doc_id").alias("doc"), "text"), "doc")
     return dealt.groupBy("group", "block").agg(F.collect_list("doc").alias("ids"), F.collect_list("text").alias("texts"))
 
