@@ -60,18 +60,26 @@ def ledger_totals(entries: DataFrame) -> DataFrame:
     return out.crossJoin(sums(reserved, ["reserve"], "open"))
 
 
-def append_changes(spark: SparkSession, source: DataFrame, keys: list[str], sink: str, checkpoint: str):
-    """Writes a stream to a parquet log once per key and content, whatever is delivered twice:
-    each batch is held against the log before it is appended."""
+def append_changes(spark: SparkSession, source: DataFrame, keys: list[str], sink: str, checkpoint: str, by: str | None = None):
+    """Writes a stream to a parquet log once per key and content, whatever is delivered twice: each batch
+    is held against the log before it is appended. With ``by``, a column that is one of the key's and
+    the same whenever a row is delivered, such as its day, the log is partitioned by it and only the
+    partitions that a batch touches are read."""
+    from pyspark.errors import AnalysisException
 
     def put(batch: DataFrame, _: int) -> None:
         batch = batch.dropDuplicates(keys)
         try:
-            seen = spark.read.parquet(sink).select(*keys)
-            batch = batch.join(seen, keys, "left_anti")
-        except Exception as e:  # the log doesn't exist before the first batch
+            seen = spark.read.schema(batch.schema).parquet(sink)
+        except AnalysisException as e:  # the log doesn't exist before the first batch
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-        batch.write.mode("append").parquet(sink)
+        else:
+            if by is not None:
+                touched = [r[0] for r in batch.select(by).distinct().collect()]  # few: a batch spans few days
+                seen = seen.where(F.col(by).isin(touched))
+            batch = batch.join(seen.select(*keys), keys, "left_anti")
+        out = batch.write.mode("append")
+        (out.partitionBy(by) if by else out).parquet(sink)
 
     return source.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

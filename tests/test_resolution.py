@@ -242,6 +242,9 @@ def test_streams(spark, tmp_path):
         q = windows.append_changes(spark, stream, ["id"], str(tmp_path / "log"), str(tmp_path / f"check{n}"))
         q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "log")).count() == 30
+    for n in range(2):
+        windows.append_changes(spark, stream, ["id", "k"], str(tmp_path / "by"), str(tmp_path / f"more{n}"), by="k").awaitTermination(60)
+    assert spark.read.parquet(str(tmp_path / "by")).count() == 30 and (tmp_path / "by" / "k=1").exists()
     late = spark.createDataFrame([("u", "2024-01-01 00:01:05", 1), ("u", "2024-01-01 00:00:30", 2), ("u", "2024-01-01 00:01:10", 3)], "k string, t string, id int").select("k", F.col("t").cast("timestamp").alias("at"), "id")
     got = [(r.id, r.n, r.admitted) for r in windows.limited(late, "k", "at", "id", 60, 2).orderBy("id").collect()]
     assert got == [(1, 1, True), (2, 2, True), (3, 3, False)]
