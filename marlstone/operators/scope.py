@@ -44,6 +44,14 @@ def free_text(pattern: str, *columns: Column) -> Column:
     return found
 
 
+def on_request(entities: DataFrame, listings: DataFrame, key: str, raw: str, path: str, value) -> DataFrame:
+    """Entities with a listing whose JSON says so: the field at ``path`` of column ``raw`` has the value. A
+    semi join on a field of a variant; JSON that doesn't parse says nothing."""
+    kind = {bool: "boolean", int: "long", float: "double"}.get(type(value), "string")
+    hit = listings.where(F.try_variant_get(F.try_parse_json(raw), path, kind) == F.lit(value))
+    return entities.join(hit.select(key), key, "left_semi")
+
+
 def keyset_page(df: DataFrame, time: str, key: str, limit: int, after: tuple | None = None) -> DataFrame:
     """The next ``limit`` + 1 rows by (time, key) past a cursor; one more than a page tells that more follow."""
     if after is not None:

@@ -223,6 +223,14 @@ def labelled_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.labelled(readers.html_elements(rows, "p_partkey"), "p_partkey", "area")
 
 
+def icon_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that stand around an icon, some steps out."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    inner = F.when(k % 3 == 0, "<span class='w'><i class='icon bed'></i></span>").when(k % 3 == 1, "<i class='bed'></i>").otherwise("<i class='bedroom'></i>")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("<ul class='l'><li class='x'>"), inner, size, F.lit("</li><li class='y'>other</li></ul>")).alias("body"))
+    return readers.by_icon(readers.html_elements(rows, "p_partkey"), "p_partkey", "bed")
+
+
 def snapshot_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as snapshots by source and day; the last of each user."""
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.col("user_id").cast("string").alias("id"), F.col("ts").alias("fetched_at"), F.col("event_id").cast("string").alias("body"))
@@ -262,7 +270,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         text_readings, listing_figures, run_rules, pass_plan, delisted_events, retry_sources, stalest_places, configuration_gaps, moved_whole, worst_statuses, carried_links, resolved_places,
-        contract_issues, last_runs, sitemap_dates, encoded_links, joined_includes, stable_records, labelled_values, snapshot_round_trip, landed_lines, advanced_marks, appended_once,
+        contract_issues, last_runs, sitemap_dates, encoded_links, joined_includes, stable_records, labelled_values, icon_values, snapshot_round_trip, landed_lines, advanced_marks, appended_once,
     )
 }
 
@@ -340,6 +348,7 @@ WITH c AS (SELECT c_custkey AS id, [c_nationkey, c_custkey % 30] AS refs FROM cu
 j AS (SELECT id, string_agg(n_name, ',' ORDER BY i) AS nations FROM u JOIN nation ON n_nationkey = r GROUP BY 1) SELECT c_custkey AS id, nations FROM customer LEFT JOIN j ON id = c_custkey""",
     "stable_records": "WITH g AS (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_returnflag, l_linestatus) SELECT n, count(*) AS records FROM g GROUP BY 1",
     "labelled_values": "SELECT p_partkey, p_size || ' m²' AS value FROM part",
+    "icon_values": "SELECT p_partkey, p_size::VARCHAR AS value FROM part WHERE p_partkey % 3 < 2",
     "snapshot_round_trip": "SELECT event_type AS source, user_id::VARCHAR AS id, max(ts) AS fetched_at FROM events GROUP BY 1, 2",
     "landed_lines": "SELECT n_regionkey, count(*) AS n, string_agg(n_name, ',' ORDER BY n_name) AS names, (SELECT count(*) FROM nation)::INTEGER AS lines FROM nation GROUP BY 1",
     "advanced_marks": """

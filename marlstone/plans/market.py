@@ -104,8 +104,7 @@ def exclusive_agencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def price_on_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users with an event whose JSON field k is 3, by a field of a variant."""
     events = table(spark, sf_dir, "events")
-    hit = events.where(F.try_variant_get(F.try_parse_json("props"), "$.k", "int") == 3).select("user_id")
-    return events.select("user_id").distinct().join(hit, "user_id", "left_semi")
+    return scope.on_request(events.select("user_id").distinct(), events, "user_id", "props", "$.k", 3)
 
 
 def json_field_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

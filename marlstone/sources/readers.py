@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -225,20 +226,22 @@ class _Outline(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[list] = []
-        self.rows: list[tuple[str, str, str]] = []
+        self.rows: list[tuple] = []
+        self.count = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         got = dict(attrs)
         if tag not in self.VOID:
-            self.open.append([tag, got.get("class") or "", got.get("href") or "", []])
+            self.count += 1
+            self.open.append([tag, got.get("class") or "", got.get("href") or "", [], self.count])
 
     def handle_endtag(self, tag: str) -> None:
         if any(o[0] == tag for o in self.open):
             while True:
-                name, classes, href, texts = self.open.pop()
+                name, classes, href, texts, node = self.open.pop()
                 text = " ".join("".join(texts).split())
-                if name not in self.SKIP and (text or href):
-                    self.rows.append((f"{name}.{classes}" if classes else name, text, href))
+                if name not in self.SKIP and (text or href or classes):
+                    self.rows.append((f"{name}.{classes}" if classes else name, text, href, node, self.open[-1][4] if self.open else 0))
                 if self.open and name not in self.SKIP:
                     self.open[-1][3] += [*texts, " "]
                 if name == tag:
@@ -250,7 +253,9 @@ class _Outline(HTMLParser):
 
 
 def html_elements(pages: DataFrame, key: str, body: str = "body") -> DataFrame:
-    """(key, at, element, text, href) of closed elements with text or a link, scripts left out."""
+    """(key, at, element, text, href, node, parent) of closed elements with text, a link or a class, in the
+    order in which they close; scripts are left out. ``element`` is the tag and its classes; ``parent`` is
+    the node around it."""
     kind = pages.schema[key].dataType.simpleString()
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -260,9 +265,9 @@ def html_elements(pages: DataFrame, key: str, body: str = "body") -> DataFrame:
                 parser = _Outline()
                 parser.feed(text or "")
                 out += [(k, i, *row) for i, row in enumerate(parser.rows)]
-            yield pd.DataFrame(out, columns=[key, "at", "element", "text", "href"])
+            yield pd.DataFrame(out, columns=[key, "at", "element", "text", "href", "node", "parent"])
 
-    return pages.select(key, body).mapInPandas(read, f"{key} {kind}, at int, element string, text string, href string")
+    return pages.select(key, body).mapInPandas(read, f"{key} {kind}, at int, element string, text string, href string, node int, parent int")
 
 
 def labelled(elements: DataFrame, key: str, label: str) -> DataFrame:
@@ -273,6 +278,20 @@ def labelled(elements: DataFrame, key: str, label: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min_by("value", "at").alias("value"))
 
 
+def by_icon(elements: DataFrame, key: str, icon: str, hops: int = 4) -> DataFrame:
+    """(key, value): the text of the nearest element around one of a class, up to so many steps out, that has
+    any; of several the first. Elements without text, link and class aren't known, so they end the way."""
+    kept = elements.select(key, "node", "parent", "text", "at")
+    way = elements.where(F.array_contains(F.split(F.regexp_replace("element", r"^[^.]*\.?", ""), r"\s+"), icon)).select(key, "node", F.col("at").alias("__at"), F.lit(0).alias("__hop"))
+    found = []
+    for hop in range(hops + 1):
+        here = way.join(kept, [key, "node"])
+        found.append(here.where("text <> ''").select(key, "text", "__at", F.lit(hop).alias("__hop")))
+        way = here.where("text = ''").select(key, F.col("parent").alias("node"), "__at", F.lit(hop + 1).alias("__hop"))
+    every = reduce(DataFrame.union, found)
+    return every.groupBy(key).agg(F.min_by("text", F.struct("__at", "__hop")).alias("value"))
+
+
 def encoded_links(pages: DataFrame, key: str, body: str = "body", attribute: str = "data-o") -> DataFrame:
     """(key, url): links that pages carry as base64 in an attribute, each once."""
     found = F.regexp_extract_all(F.col(body), F.lit(rf"""{attribute}\s*=\s*["']([A-Za-z0-9+/=_-]+)["']"""), F.lit(1))
