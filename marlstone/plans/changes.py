@@ -154,7 +154,7 @@ def newest_until_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     total, n = orders.count(), 500
     while True:
         rows = orders.orderBy(*newest).limit(n)
-        found = rows.select("o_orderkey", F.row_number().over(Window.orderBy(*newest)).alias("place"), (F.col("o_orderkey") % 3 == 0).alias("known"))
+        found = cdc.numbered(rows, "place", *newest).select("o_orderkey", "place", (F.col("o_orderkey") % 3 == 0).alias("known"))
         read = windows.until_known(found, "place", "known", 3)
         if n >= total or read.count() < n:
             return read

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.cdc import numbered
+
 
 def window_start(at: Column, seconds: int) -> Column:
     """The start of the fixed window that holds a time."""
@@ -41,13 +43,13 @@ def advanced_marks(marks: DataFrame, passes: DataFrame) -> DataFrame:
 
 
 def until_known(found: DataFrame, order: str, known: str, run: int) -> DataFrame:
-    """Newest-first rows up to where ``run`` known ones in a row have been seen."""
-    w = Window.orderBy(order)
-    group = F.sum(F.when(~F.col(known), 1).otherwise(0)).over(w)
-    rows = found.withColumn("__group", group)
-    streak = F.sum(F.when(F.col(known), 1).otherwise(0)).over(Window.partitionBy("__group").orderBy(order))
-    rows = rows.withColumn("__stop", F.max(F.when(streak >= run, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    return rows.where(F.coalesce("__stop", F.lit(0)) == 0).drop("__group", "__stop")
+    """Newest-first rows up to where ``run`` known ones in a row have been seen; all if they never are.
+    Rows are numbered by ranges; a run ends where so many known ones before it count for it."""
+    rows = numbered(found, "__k", F.col(order))
+    ends = rows.where(known).select(F.explode(F.sequence(F.col("__k"), F.col("__k") + run - 1)).alias("end"))
+    stop = ends.groupBy("end").agg(F.count("*").alias("n")).where(F.col("n") == run).agg(F.min("end").alias("__stop"))  # one row
+    read = rows.crossJoin(F.broadcast(stop)).where(F.col("__stop").isNull() | (F.col("__k") <= F.col("__stop")))
+    return read.drop("__k", "__stop")
 
 
 def ledger_totals(entries: DataFrame) -> DataFrame:

@@ -265,6 +265,21 @@ def test_written_tables_can_be_removed(spark):
     assert folder.exists() and removed(spark) >= 1 and not folder.exists()
 
 
+def test_reading_ends_behind_a_run_of_known_ones(spark):
+    r = random.Random(6)
+    for run in (1, 2, 3, 50):
+        rows = [(i * 10, r.random() < 0.5) for i in range(60)]
+        want, streak = [], 0
+        for at, known in rows:
+            want.append(at)
+            streak = streak + 1 if known else 0
+            if streak == run:
+                break
+        df = spark.createDataFrame(r.sample(rows, 60), "at int, known boolean").repartition(4)
+        assert sorted(x.at for x in windows.until_known(df, "at", "known", run).collect()) == want
+    assert windows.until_known(df.limit(0), "at", "known", 2).count() == 0
+
+
 def test_hot_keys_are_joined_where_they_are(spark, monkeypatch):
     from marlstone.operators import components, tables
 
