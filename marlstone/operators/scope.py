@@ -77,18 +77,19 @@ def decode_cursor(cursor: Column) -> Column:
     return F.when(text.contains("|") & time.isNotNull() & (key != ""), F.struct(time.alias("time"), key.alias("key")))
 
 
-#: Bounds (fixed values).
+#: Bounds, and what is wrong beyond them (fixed values).
 MAX_PRICE, MAX_ROOMS, MIN_AREA, MAX_DWELLING = 250_000_000, 1000, 5, 2000
 LAND_KIND = r"(?i)terrain|land|plot"
+PRICE, UNIT, HOME = "price", "area, unit error", "area, too large for a home"
 
 
 def impossible(price: Column, area: Column, kind: Column) -> Column:
     """What can't be true of a listing; null if nothing."""
     dwelling = kind.isNotNull() & ~kind.rlike(LAND_KIND)
     return (
-        F.when(price > MAX_PRICE, "price")
-        .when(area < MIN_AREA, "area, unit error")
-        .when((area > MAX_DWELLING) & dwelling, "area, too large for a home")
+        F.when(price > MAX_PRICE, PRICE)
+        .when(area < MIN_AREA, UNIT)
+        .when((area > MAX_DWELLING) & dwelling, HOME)
     )
 
 
