@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from marlstone.operators.latest import latest_per
 from marlstone.operators.portals import served_copies
 from marlstone.operators.scope import served, within, without_own_duplicates
+from marlstone.operators.tables import written
 
 # Tables: properties (id, status, place, first_listed, ...), listings (id: the property's, source, status,
 # first_seen, ...), sources (source, name, enabled). The present is always an argument.
@@ -167,7 +169,8 @@ def hidden_duplicates(properties: DataFrame) -> DataFrame:
     Rank within a place: more sources, listed earlier, smaller id. Two are alike if their prices lie
     within 1 %, no known kind or bedroom count speaks against it, and their areas agree, or both can't
     be told from a wrong one; or if they show the same image. Prices meet by bands of 1 %, images by
-    themselves: equi-joins in both cases. Columns: id, place, price, area, bedrooms, source_count,
+    themselves: equi-joins in both cases. Rows that the rule can't tell apart are one class, which meets
+    others once; a row goes if the first in rank of a class alike to its own is before it. Columns: id, place, price, area, bedrooms, source_count,
     first_listed, image, kind, title.
     """
     bad = F.coalesce((F.col("area") < LEAST_AREA) | (F.col("price") / F.nullif("area", F.lit(0.0)) > MOST_PER_M2), F.lit(False))
@@ -177,9 +180,13 @@ def hidden_duplicates(properties: DataFrame) -> DataFrame:
         "id", "place", "price", "bedrooms", "image", named.alias("named"), (F.col("area").isNotNull() & bad).alias("bad"), F.when(~bad, F.col("area")).alias("ok"),
         F.row_number().over(order).alias("rank"), F.floor(F.ln(F.when(F.col("price") > 0, F.col("price"))) / -math.log(1 - PRICE_GAP)).cast("long").alias("band"),
     )
-    x, y = rows.alias("x"), rows.alias("y")
+    rows = written(rows)
+    told = ["place", "price", "bedrooms", "named", "bad", "ok"]
+    classes = rows.groupBy(*told, "band").agg(F.min("rank").alias("lead"), F.max("rank").alias("last"))
+    classes = written(classes.withColumn("class", F.monotonically_increasing_id()))
+    y = classes.alias("y")
     c = lambda s, k: F.col(f"{s}.{k}")
-    ahead = [c("x", "place") == c("y", "place"), c("x", "rank") < c("y", "rank")]
+    ahead = [c("x", "place") == c("y", "place"), c("x", "lead") < c("y", "last")]
     within_ = lambda k, gap: F.abs(c("x", k) - c("y", k)) <= gap * F.greatest(c("x", k), c("y", k))
     unknown = lambda k: c("x", k).isNull() | c("y", k).isNull()
     beds = lambda most: unknown("bedrooms") | (F.abs(c("x", "bedrooms") - c("y", "bedrooms")) <= most)
@@ -187,8 +194,11 @@ def hidden_duplicates(properties: DataFrame) -> DataFrame:
     stated = lambda s: c(s, "ok").isNotNull() | c(s, "bad")
     unsure = (c("x", "bad") | c("y", "bad")) & stated("x") & stated("y") & (c("x", "named") == c("y", "named")) & beds(0)
     alike = within_("price", PRICE_GAP) & (unknown("named") | (c("x", "named") == c("y", "named"))) & beds(1) & (F.coalesce(sized, F.lit(False)) | F.coalesce(unsure, F.lit(False)))
-    near = rows.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("x")
-    by_price = near.join(y, [*ahead, c("x", "band") == c("y", "band"), alike]).select(c("y", "id").alias("id"))
+    near = classes.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("x")
+    met = near.join(y, [*ahead, c("x", "band") == c("y", "band"), alike]).groupBy(c("y", "class").alias("class")).agg(F.min(c("x", "lead")).alias("ahead"))
+    found = classes.join(met, "class").alias("f")
+    same = reduce(lambda a, b: a & b, (F.col(f"r.{k}").eqNullSafe(F.col(f"f.{k}")) for k in told))
+    by_price = rows.alias("r").join(found, same & (F.col("r.rank") > F.col("f.ahead"))).select("r.id")
     # of one image the first in rank is left; the others each have it before them
     first = rows.where("image IS NOT NULL").groupBy("place", "image").agg(F.min("rank").alias("first"))
     by_image = rows.join(first, ["place", "image"]).where("rank > first").select("id")
